@@ -44,26 +44,47 @@ def first_filled(columns: list) -> Column:
     return F.coalesce(*[F.nullif(strip(c), F.lit("")) for c in columns])
 
 
+def as_double(value) -> Column:
+    return strip(value).try_cast("double")
+
+
+def accept_number(parsed: Column, scale: float = 1.0) -> Column:
+    """NaN sorts above infinity, so the upper bound keeps both out."""
+    scaled = parsed * F.lit(scale)
+    return F.when((parsed >= 0) & (scaled < float("inf")), scaled)
+
+
+def accept_integer(parsed: Column) -> Column:
+    return F.when((parsed >= 0) & (parsed < float("inf")) & (parsed == F.rint(parsed)),
+                  parsed.try_cast("bigint"))
+
+
 def number(value, scale: float = 1.0) -> Column:
     """A finite non-negative number times ``scale``."""
-    scaled = F.try_multiply(strip(value).try_cast("double"), F.lit(scale))
-    return F.when((scaled >= 0) & (scaled < float("inf")) & ~F.isnan(scaled), scaled)
+    return accept_number(as_double(value), scale)
 
 
 def integer(value) -> Column:
     """A finite non-negative number without a fraction; '2.0' is one."""
-    parsed = number(value)
-    return F.when(parsed == F.floor(parsed), parsed.try_cast("bigint"))
+    return accept_integer(as_double(value))
+
+
+def port_number(value) -> Column:
+    """NULL, '' and '-' mean 0, '0x' starts a hexadecimal number."""
+    text = strip(value)
+    hexa = F.conv(F.regexp_extract(text, "^0[xX]([0-9a-fA-F]{1,8})$", 1), 16, 10)
+    return (F.when(text.isNull() | text.isin("", "-"), F.lit(0).cast("double"))
+            .when(F.lower(text).startswith("0x"), hexa.try_cast("double"))
+            .otherwise(text.try_cast("double")))
+
+
+def accept_port(parsed: Column) -> Column:
+    return F.when(parsed.between(0, 65535) & (parsed == F.rint(parsed)), parsed.try_cast("int"))
 
 
 def port(value) -> Column:
-    """0..65535; '' and '-' mean 0, '0x' starts a hexadecimal number."""
-    text = F.coalesce(strip(value), F.lit(""))
-    hexa = F.when(text.rlike("^0[xX][0-9a-fA-F]{1,8}$"),
-                  F.conv(F.substring(text, 3, 8), 16, 10).try_cast("bigint"))
-    parsed = (F.when(text.isin("", "-"), F.lit(0).cast("bigint"))
-              .when(F.lower(text).startswith("0x"), hexa).otherwise(integer(text)))
-    return F.when(parsed.between(0, 65535), parsed.cast("int"))
+    """A port number, 0..65535."""
+    return accept_port(port_number(value))
 
 
 def is_ipv4(value) -> Column:
@@ -167,10 +188,14 @@ def timestamp_text(value, ts) -> Column:
     return F.when(aware, F.concat(iso_text(ts), F.lit("Z"))).otherwise(iso_text(ts))
 
 
+def timestamp_text_utc(ts) -> Column:
+    return F.concat(iso_text(ts), F.lit("Z"))
+
+
 def epoch_us(value) -> Column:
     """Epoch seconds as text, to microseconds."""
-    return F.round(number(value) * 1_000_000, 0).try_cast("bigint")
+    return F.round(number(value, 1e6), 0).try_cast("bigint")
 
 
 def us_text(us) -> Column:
-    return F.concat(iso_text(F.timestamp_micros(_col(us))), F.lit("Z"))
+    return timestamp_text_utc(F.timestamp_micros(_col(us)))

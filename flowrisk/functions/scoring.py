@@ -53,37 +53,36 @@ def rule_conditions() -> dict[str, Column]:
     }
 
 
-def _per_hit(item) -> Column:
-    """An array with ``item(rule)`` for every rule that holds, in rule order."""
-    return F.concat(*[F.when(hit, F.array(item(rule))).otherwise(F.array().cast(_array_type(item)))
-                      for rule, hit in rule_conditions().items()])
-
-
-def _array_type(item) -> str:
-    return "array<string>" if item is not _evidence else \
-        "array<struct<rule_id:string,score:double,reason:string>>"
+def with_rules(df: DataFrame) -> DataFrame:
+    """Add one boolean ``h_*`` column per rule, so that every rule is tested once."""
+    return df.withColumns({f"h_{rule}": hit for rule, hit in rule_conditions().items()})
 
 
-def _evidence(rule: str) -> Column:
-    return F.struct(F.lit(rule).alias("rule_id"), F.lit(RULE_SCORES[rule]).alias("score"),
-                    F.lit(RULE_REASONS[rule]).alias("reason"))
+def _per_hit(item, kind: str) -> Column:
+    """An array with ``item(rule)`` for every rule that holds, in rule order."""
+    return F.concat(*[F.when(F.col(f"h_{rule}"), F.array(item(rule))).otherwise(
+        F.array().cast(f"array<{kind}>")) for rule in RULE_SCORES])
 
 
 def rule_ids() -> Column:
-    return _per_hit(lambda rule: F.lit(rule))
+    """Needs the ``h_*`` columns, as do the next three."""
+    return _per_hit(F.lit, "string")
 
 
 def rule_reasons() -> Column:
-    return _per_hit(lambda rule: F.lit(RULE_REASONS[rule]))
+    return _per_hit(lambda rule: F.lit(RULE_REASONS[rule]), "string")
 
 
 def rule_evidence() -> Column:
-    return _per_hit(_evidence)
+    return _per_hit(lambda rule: F.struct(
+        F.lit(rule).alias("rule_id"), F.lit(RULE_SCORES[rule]).alias("score"),
+        F.lit(RULE_REASONS[rule]).alias("reason")),
+        "struct<rule_id:string,score:double,reason:string>")
 
 
 def rule_score() -> Column:
-    return F.greatest(*[F.when(hit, F.lit(RULE_SCORES[rule])).otherwise(F.lit(0.0))
-                        for rule, hit in rule_conditions().items()])
+    return F.greatest(*[F.when(F.col(f"h_{rule}"), F.lit(score)).otherwise(F.lit(0.0))
+                        for rule, score in RULE_SCORES.items()])
 
 
 def _standardized(model: LinearModel) -> list[Column]:
@@ -91,33 +90,37 @@ def _standardized(model: LinearModel) -> list[Column]:
             for n, m, s in zip(FEATURE_NAMES, model.means, model.scales)]
 
 
-def probability(logit: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(logit, F.lit(40.0)), F.lit(-40.0))))
+def contributions(model: LinearModel) -> list[Column]:
+    return [F.lit(w) * x for w, x in zip(model.weights, _standardized(model))]
 
 
 def model_probability(model: LinearModel) -> Column:
     """Needs the ``f_*`` columns."""
-    terms = [F.lit(w) * x for w, x in zip(model.weights, _standardized(model))]
-    return probability(F.lit(model.bias) + reduce(lambda a, b: a + b, terms))
+    logit = F.lit(model.bias) + reduce(lambda a, b: a + b, contributions(model))
+    bounded = F.greatest(F.least(logit, F.lit(40.0)), F.lit(-40.0))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-bounded))
+
 
+def with_explanation(df: DataFrame, model: LinearModel, limit: int = 3) -> DataFrame:
+    """Add ``top_features``, the strongest contributions by rounded size, then name.
 
-def top_features(model: LinearModel, limit: int = 3) -> Column:
-    """The strongest contributions: by rounded size, then name. Needs the ``f_*`` columns."""
+    Needs the ``f_*`` columns. Sorting an array of structs keeps this inside generated code.
+    """
     if limit < 1:
         raise ValueError("limit must be at least 1")
-    entries = []
-    for name, weight, x in zip(FEATURE_NAMES, model.weights, _standardized(model)):
-        part = F.lit(weight) * x
-        entries.append(F.struct(
-            (-F.abs(F.round(part, 6))).alias("order"), F.lit(name).alias("name"),
-            F.round(F.col(f"f_{name}"), 6).alias("value"),
-            F.round(x, 6).alias("standardized_value"), F.lit(round(weight, 6)).alias("weight"),
-            F.round(part, 6).alias("contribution"),
-            F.when(part >= 0, "raises_risk").otherwise("lowers_risk").alias("direction")))
-    ranked = F.sort_array(F.array(*entries))
-    return F.array(*[F.struct(*[ranked[i][field].alias(field) for field in (
-        "name", "value", "standardized_value", "weight", "contribution", "direction")])
-        for i in range(min(limit, len(FEATURE_NAMES)))])
+    parts = df.withColumns({f"_c_{n}": c for n, c in zip(FEATURE_NAMES, contributions(model))})
+    entries = [F.struct(
+        (-F.abs(F.round(f"_c_{name}", 6))).alias("order"), F.lit(name).alias("name"),
+        F.round(f"f_{name}", 6).alias("value"), F.round(x, 6).alias("standardized_value"),
+        F.lit(round(weight, 6)).alias("weight"), F.round(f"_c_{name}", 6).alias("contribution"),
+        F.when(F.col(f"_c_{name}") >= 0, "raises_risk").otherwise("lowers_risk").alias("direction"))
+        for name, weight, x in zip(FEATURE_NAMES, model.weights, _standardized(model))]
+    ranked = parts.withColumn("_ranked", F.sort_array(F.array(*entries)))
+    fields = ("name", "value", "standardized_value", "weight", "contribution", "direction")
+    top = F.array(*[F.struct(*[F.col("_ranked")[i][f].alias(f) for f in fields])
+                    for i in range(min(limit, len(FEATURE_NAMES)))])
+    return ranked.withColumn("top_features", top).drop(
+        "_ranked", *[f"_c_{n}" for n in FEATURE_NAMES])
 
 
 def check_threshold(threshold: float) -> None:
@@ -129,7 +132,7 @@ def with_scores(df: DataFrame, model: LinearModel = BASELINE,
                 threshold: float = 0.60) -> DataFrame:
     """Add the unrounded ``p_model``, ``p_rule`` and ``p_risk``, ``severity`` and ``is_alert``."""
     check_threshold(threshold)
-    scored = with_features(df).withColumns(
+    scored = with_rules(with_features(df)).withColumns(
         {"p_model": model_probability(model), "p_rule": rule_score()})
     mixed = F.greatest(F.lit(0.70) * F.col("p_model") + F.lit(0.30) * F.col("p_rule"),
                        F.col("p_rule") * F.lit(0.90))
@@ -143,8 +146,8 @@ def with_scores(df: DataFrame, model: LinearModel = BASELINE,
 
 
 def reasons(threshold: float) -> Column:
-    """Needs ``p_model``."""
-    return (F.when(F.size(rule_ids()) > 0, rule_reasons())
+    """Needs ``p_model``, ``p_rule`` and the ``h_*`` columns."""
+    return (F.when(F.col("p_rule") > 0, rule_reasons())
             .when(F.col("p_model") >= threshold, F.array(F.lit(MODEL_REASON)))
             .otherwise(F.array(F.lit(QUIET_REASON))))
 
@@ -152,13 +155,14 @@ def reasons(threshold: float) -> Column:
 def detections(df: DataFrame, model: LinearModel = BASELINE, threshold: float = 0.60,
                keep: list[str] = (), explain: int = 3) -> DataFrame:
     """Scored rows with their evidence; ``keep`` carries extra input columns along."""
-    return with_scores(df, model, threshold).select(
+    scored = with_explanation(with_scores(df, model, threshold), model, explain)
+    return scored.select(
         *keep, "timestamp", "src_ip", "dst_ip", "dst_port", "protocol",
         F.round("p_model", 4).alias("model_score"), F.round("p_rule", 4).alias("rule_score"),
         F.round("p_risk", 4).alias("risk_score"), "severity", "is_alert",
         reasons(threshold).alias("reasons"), rule_ids().alias("rule_ids"),
         rule_evidence().alias("rule_evidence"),
-        top_features(model, explain).alias("top_features"),
+        "top_features",
         F.lit(model.algorithm).alias("model_algorithm"),
         F.lit(model.version).alias("model_version"),
         F.struct(*[F.round(f"f_{n}", 6).alias(n) for n in FEATURE_NAMES]).alias("feature_snapshot"))

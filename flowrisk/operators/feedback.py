@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowrisk.constants import ALERT_ID_PATTERN, FEATURE_NAMES, SEVERITIES
-from flowrisk.session import shared_dir
 
 SEARCH_FIELDS = ["timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "severity",
                  "process_id", "process_name", "direction", "connection_state", "model_algorithm",
@@ -163,9 +162,9 @@ def review_counters(pending: DataFrame, selected: DataFrame, reviewed: DataFrame
              known.select("alert_id", F.lit(0), F.lit(0), F.lit(1))]
     ids = marks[0].union(marks[1]).union(marks[2]).groupBy("alert_id").agg(
         F.max("p").alias("p"), F.max("s").alias("s"), F.max("r").alias("r"))
-    return ids.agg(F.count_if("p = 1").alias("pending"), F.count_if("s = 1").alias("selected"),
-                   F.count_if("s = 1 and r = 0").alias("written"),
-                   F.count_if("s = 1 and r = 1").alias("already_reviewed"))
+    return ids.agg(F.count_if(F.expr("p = 1")).alias("pending"), F.count_if(F.expr("s = 1")).alias("selected"),
+                   F.count_if(F.expr("s = 1 and r = 0")).alias("written"),
+                   F.count_if(F.expr("s = 1 and r = 1")).alias("already_reviewed"))
 
 
 def ledger_duplicates(reviewed: DataFrame) -> DataFrame:
@@ -191,6 +190,3 @@ def id_digest(ids: DataFrame, column: str = "alert_id") -> DataFrame:
         .alias("digest"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()

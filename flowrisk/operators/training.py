@@ -5,7 +5,6 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from flowrisk.operators.evaluate import calibrate_raw, confusion, model_ranking
 from flowrisk.operators.feedback import feedback_cap, features_type, id_digest, ledger_duplicates
 from flowrisk.operators.iforest import IsolationForest
 from flowrisk.operators.splits import model_split
+from flowrisk.session import stage
 
 L2 = 0.0005
 MAX_STEPS = 800
@@ -121,22 +121,20 @@ def _fitters(train: DataFrame, seed: int, rounds: int) -> dict[str, Callable]:
 def compare_models(flows: DataFrame, train: float = 0.5, calibration: float = 0.2,
                    target_fpr: float = 0.01, seed: int = 42, rounds: int = 100) -> DataFrame:
     """One row per model: calibration and test metrics on the same time split, timings and rank."""
-    split = labelled_features(model_split(flows, train, calibration)).select(
-        "seq", "split", "label_int", *FEATURE_COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
+    split = stage(labelled_features(model_split(flows, train, calibration)).select(
+        "seq", "split", "label_int", *FEATURE_COLUMNS), "split")
     spark, reports = flows.sparkSession, []
     for name, fit in _fitters(split.filter("split = 'train'"), seed, rounds).items():
         begun = time.perf_counter()
         score = fit()
         fitted = time.perf_counter()
-        scored = score(split.filter("split <> 'train'")).select("split", "label_int", "score")
-        scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+        scored = stage(score(split.filter("split <> 'train'")).select(
+            "split", "label_int", "score"), "scores")
         cut = calibrate_raw(scored.filter("split = 'calibration' and label_int = 0"), target_fpr)
         row = confusion(scored.filter("split = 'test'"),
                         F.col("score") > F.lit(cut["boundary_score"]), 6).first().asDict()
-        scored.unpersist()
         reports.append({"name": name, **row, **cut, "fit_seconds": round(fitted - begun, 6),
                         "score_seconds": round(time.perf_counter() - fitted, 6)})
-    split.unpersist()
     return model_ranking(reports_frame(spark, reports))
 
 

@@ -11,8 +11,9 @@ from flowrisk.operators import training as T
 from flowrisk.operators.splits import chronological_split, model_split
 from flowrisk.plans import fixtures as X
 from flowrisk.plans.oracle import CTX, FLOWS, SCORED, features, with_
-from flowrisk.plans.q_scoring import alerts, scored
+from flowrisk.plans.q_scoring import scored
 from flowrisk.plans.registry import query
+from flowrisk.session import stage
 
 _CONFUSION = """count(*) AS rows, count(*) FILTER (WHERE hit AND label_int = 1) AS true_positive,
   count(*) FILTER (WHERE hit AND label_int = 0) AS false_positive,
@@ -53,8 +54,10 @@ _BENCH = [*SCORED, _SPLIT2, _CAL, _TEST]
 
 
 def split_scored(spark, d):
-    flows = scored(spark, d).withColumn("risk_score", F.round("p_risk", 4))
-    return chronological_split(flows, 0.4)
+    """The scored flows, split; the columns that evaluation needs are written once."""
+    rows = scored(spark, d).select("seq", "ts_us", "label", "p_risk",
+                                   F.round("p_risk", 4).alias("risk_score"))
+    return chronological_split(stage(rows, "scored"), 0.4)
 
 
 def calibration(split):
@@ -103,7 +106,8 @@ def calibrate_risk(spark, d):
     max(n) AS calibration_benign_rows, true AS target_met
   FROM b WHERE rn <= CAST(floor(n * 0.01) AS BIGINT) + 1""")
 def calibrate_raw(spark, d):
-    benign = scored(spark, d).filter("label = 'benign'").select(F.col("p_model").alias("score"))
+    benign = stage(scored(spark, d).filter("label = 'benign'").select(
+        F.col("p_model").alias("score")), "scores")
     return T.reports_frame(spark, [E.calibrate_raw(benign, 0.01)]).select(
         F.round("boundary_score", 12).alias("boundary_score"), "target_false_positive_rate",
         "calibration_benign_rows", "target_met")
@@ -247,8 +251,8 @@ def latency_percentiles(spark, d):
 
 
 def training_rows(spark, d):
-    return T.labelled_features(X.context_flows(spark, d)).select(
-        "seq", "label_int", *[f"f_{n}" for n in FEATURE_NAMES])
+    return stage(T.labelled_features(X.context_flows(spark, d)).select(
+        "seq", "label_int", *[f"f_{n}" for n in FEATURE_NAMES]), "training")
 
 
 def _confusion_at(scored_rows, cut: float):
@@ -257,26 +261,26 @@ def _confusion_at(scored_rows, cut: float):
 
 @query("train_logistic")
 def train_logistic(spark, d):
-    rows = training_rows(spark, d).persist()
+    rows = training_rows(spark, d)
     return _confusion_at(T.score_linear(T.train_logistic(rows), rows), 0.5)
 
 
 @query("train_gbt")
 def train_gbt(spark, d):
-    rows = training_rows(spark, d).persist()
+    rows = training_rows(spark, d)
     return _confusion_at(T.score_trees(T.train_trees(rows, rounds=20), rows), 0.5)
 
 
 @query("train_iforest")
 def train_iforest(spark, d):
     from flowrisk.operators.iforest import IsolationForest
-    rows = training_rows(spark, d).persist()
+    rows = training_rows(spark, d)
     model = IsolationForest.fit(rows.filter("label_int = 0"), T.FEATURE_COLUMNS)
     return _confusion_at(model.score(rows), 0.0)
 
 
 def compared(spark, d):
-    return T.compare_models(X.context_flows(spark, d), target_fpr=0.01, rounds=20)
+    return T.compare_models(stage(X.context_flows(spark, d), "flows"), target_fpr=0.01, rounds=20)
 
 
 @query("compare_models")
@@ -293,8 +297,8 @@ def model_ranking(spark, d):
 def retrain_feedback(spark, d):
     """Train on the flows and approved feedback, then evaluate on the flows."""
     from flowrisk.plans.q_feedback import approved_ledger
-    base = X.context_flows(spark, d).persist()
-    model = T.retrain_with_feedback(base, approved_ledger(spark, d).persist(), max_fraction=0.5)
+    base = stage(X.context_flows(spark, d), "flows")
+    model = T.retrain_with_feedback(base, approved_ledger(spark, d))
     return _confusion_at(T.score_linear(model, T.labelled_features(base)), 0.5).withColumns({
         "approved_feedback_rows": F.lit(model.metadata["approved_feedback_rows"]),
         "feedback_fraction": F.lit(model.metadata["feedback_fraction"])})

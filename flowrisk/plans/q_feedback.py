@@ -231,7 +231,7 @@ def expired_blocks(spark, d):
 @query("allowlist_ranges", with_(FLOWS, """l AS (SELECT DISTINCT split_part(dst_ip, '.', 3) AS c,
     CAST(split_part(dst_ip, '.', 3) AS BIGINT) AS k FROM flows),
   x AS (SELECT '198.51.' || c || '.77' || CASE WHEN k % 4 = 0 THEN '' ELSE '/24' END AS entry,
-    CAST(198 * 16777216 + 51 * 65536 + k * 256 AS BIGINT) AS base, k FROM l WHERE k % 9 <> 0)""") + """
+    CAST(198::BIGINT * 16777216 + 51 * 65536 + k * 256 AS BIGINT) AS base, k FROM l WHERE k % 9 <> 0)""") + """
   SELECT entry, CASE WHEN k % 4 = 0 THEN base + 77 ELSE base END AS lo,
     CASE WHEN k % 4 = 0 THEN base + 77 ELSE base + 255 END AS hi FROM x""")
 def allowlist_ranges(spark, d):

@@ -13,6 +13,7 @@ from flowrisk.operators import feedback as B
 from flowrisk.plans import fixtures as X
 from flowrisk.plans.oracle import ALERTS, CTX, FLOWS, SCORED, features, with_
 from flowrisk.plans.registry import query
+from flowrisk.session import stage
 
 _F = ", ".join(f"round(f_{n}, 6) AS f_{n}" for n in FEATURE_NAMES)
 _TOPS = ", ".join(f"_top[{i}].n AS top{i}_name, _top[{i}].v AS top{i}_value, "
@@ -30,7 +31,8 @@ def found(spark, d) -> DataFrame:
 
 
 def alerts(spark, d) -> DataFrame:
-    return found(spark, d).filter("is_alert").withColumn("alert_id", B.alert_id())
+    """The alert table with ids: written once, as the jobs that follow use it more than once."""
+    return stage(found(spark, d).filter("is_alert").withColumn("alert_id", B.alert_id()), "alerts")
 
 
 @query("features", with_(FLOWS, CTX, features()) + f"SELECT seq, {_F} FROM feat")
@@ -46,9 +48,8 @@ def model_score(spark, d):
 
 @query("top_features", with_(*SCORED) + f"SELECT seq, {_TOPS} FROM scored")
 def top_features(spark, d):
-    rows = S.with_features(X.context_flows(spark, d)).select(
-        "seq", S.top_features(BASELINE, 3).alias("top"))
-    return rows.select("seq", *[F.col("top")[i][field].alias(f"top{i + 1}_{name}")
+    rows = S.with_explanation(S.with_features(X.context_flows(spark, d)), BASELINE, 3)
+    return rows.select("seq", *[F.col("top_features")[i][field].alias(f"top{i + 1}_{name}")
                                 for i in range(3) for field, name in (
         ("name", "name"), ("value", "value"), ("contribution", "contribution"))])
 
@@ -56,7 +57,7 @@ def top_features(spark, d):
 @query("rule_hits", with_(*SCORED) +
        "SELECT seq, array_to_string(rule_list, ',') AS rule_ids, rule_score FROM scored")
 def rule_hits(spark, d):
-    return X.context_flows(spark, d).select(
+    return S.with_rules(X.context_flows(spark, d)).select(
         "seq", F.array_join(S.rule_ids(), ",").alias("rule_ids"),
         S.rule_score().alias("rule_score"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowrisk.constants import CICIDS_ALIASES, FLOW_COLUMNS, UNSW_ALIASES, UNSW_RAW_COLUMNS
 from flowrisk.functions import normalize as N
 from flowrisk.operators.context import time_reversals, with_context
+from flowrisk.session import stage
 from flowrisk.sources.order import FILE_ORDER, head_rows, with_file_order
 
 
@@ -34,16 +35,25 @@ class _Fields:
         return N.first_filled(found) if found else F.lit(None).cast("string")
 
 
-def _finish(raw: DataFrame, keep: list[str], parts: dict[str, Column], needed: dict[str, Column],
-            failed: Column) -> DataFrame:
-    """Typed columns, ``failed`` and ``error``: the first field that could not be accepted."""
-    typed = raw.select(*keep, *[c.alias(n) for n, c in parts.items()], failed.alias("failed"),
-                       *[c.alias(f"_raw_{n}") for n, c in needed.items()])
-    problem = F.coalesce(*[
-        F.when(F.col(f"_raw_{n}").isNull(), F.lit(f"missing {n}")) for n in needed], *[
-        F.when(F.col(n).isNull(), F.lit(f"invalid {n}")) for n in parts
-        if n not in ("timestamp", "label")])
-    return typed.withColumn("error", problem).drop(*[f"_raw_{n}" for n in needed])
+def _typed(raw: DataFrame, keep: list[str], texts: dict[str, Column], numbers: list[str],
+           ts: Column, parts: dict[str, Column], needed: list[str], failed: Column) -> DataFrame:
+    """Typed columns, ``failed`` and ``error``: the first field that could not be accepted.
+
+    One projection each for the texts, the parsed numbers and the typed values, so that nothing is
+    parsed twice. ``parts`` refer to ``t_*`` texts, ``d_*`` numbers and ``ts``.
+    """
+    names = [n for n in parts if n not in ("timestamp", "label")]
+    staged = raw.select(*keep, *[c.alias(f"t_{n}") for n, c in texts.items()])
+    staged = staged.select("*", ts.alias("ts"),
+                           *[N.as_double(f"t_{n}").alias(f"d_{n}") for n in numbers],
+                           *[N.port_number(f"t_{n}").alias(f"d_{n}")
+                             for n in ("src_port", "dst_port")])
+    missing = F.coalesce(*[F.when(F.col(f"t_{n}").isNull(), F.lit(f"missing {n}")) for n in needed])
+    staged = staged.select(*keep, *[c.alias(n) for n, c in parts.items()], failed.alias("failed"),
+                           missing.alias("_missing"))
+    error = F.coalesce("_missing", *[F.when(F.col(n).isNull(), F.lit(f"invalid {n}"))
+                                     for n in names])
+    return staged.withColumn("error", error).drop("_missing")
 
 
 def normalize_cicids(raw: DataFrame, timestamp_format: str | None = None,
@@ -51,47 +61,60 @@ def normalize_cicids(raw: DataFrame, timestamp_format: str | None = None,
     """CICIDS2017 text columns to flows; durations are microseconds."""
     f = _Fields(raw, CICIDS_ALIASES, keep)
     f.require(*CICIDS_ALIASES)
-    ts = N.timestamp(f.text("timestamp"), timestamp_format)
-    rst = N.integer(f.text("rst"))
+    numbers = ["duration", "fwd_packets", "bwd_packets", "fwd_bytes", "bwd_bytes", "syn", "rst"]
+
+    def whole(name: str) -> Column:
+        return N.accept_integer(F.col(f"d_{name}"))
+
     parts = {
-        "ts_us": F.unix_micros(ts), "timestamp": N.timestamp_text(f.text("timestamp"), ts),
-        "src_ip": N.ip_text(f.text("src_ip")), "dst_ip": N.ip_text(f.text("dst_ip")),
-        "src_port": N.port(f.text("src_port")), "dst_port": N.port(f.text("dst_port")),
-        "protocol": N.protocol(f.text("protocol")),
-        "duration_ms": N.number(f.text("duration"), 0.001),
-        "packets": N.integer(f.text("fwd_packets")) + N.integer(f.text("bwd_packets")),
-        "bytes_sent": N.integer(f.text("fwd_bytes")),
-        "bytes_received": N.integer(f.text("bwd_bytes")),
-        "syn_count": N.integer(f.text("syn")), "rst_count": rst,
-        "label": N.dataset_label(f.text("label")),
+        "ts_us": F.unix_micros("ts"), "timestamp": N.timestamp_text("t_timestamp", "ts"),
+        "src_ip": N.ip_text("t_src_ip"), "dst_ip": N.ip_text("t_dst_ip"),
+        "src_port": N.accept_port(F.col("d_src_port")),
+        "dst_port": N.accept_port(F.col("d_dst_port")),
+        "protocol": N.protocol("t_protocol"),
+        "duration_ms": N.accept_number(F.col("d_duration"), 0.001),
+        "packets": whole("fwd_packets") + whole("bwd_packets"),
+        "bytes_sent": whole("fwd_bytes"), "bytes_received": whole("bwd_bytes"),
+        "syn_count": whole("syn"), "rst_count": whole("rst"),
+        "label": N.dataset_label("t_label"),
     }
-    return _finish(raw, list(keep), parts, {n: f.text(n) for n in CICIDS_ALIASES}, rst > 0)
+    return _typed(raw, list(keep), {n: f.text(n) for n in CICIDS_ALIASES}, numbers,
+                  N.timestamp("t_timestamp", timestamp_format), parts, list(CICIDS_ALIASES),
+                  F.col("d_rst") > 0)
 
 
 def normalize_unsw(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
     """UNSW-NB15 text columns to flows; times are epoch seconds, durations seconds."""
     f = _Fields(raw, UNSW_ALIASES, keep)
-    needed = [n for n in UNSW_ALIASES if n not in ("label", "attack_category")]
-    f.require(*needed)
+    required = [n for n in UNSW_ALIASES if n not in ("label", "attack_category")]
+    f.require(*required)
     if not f.columns("label") and not f.columns("attack_category"):
         raise ValueError("dataset CSV lacks both label and attack_cat")
-    state = F.upper(f.text("state"))
-    label = F.coalesce(f.text("label"), f.text("attack_category"))
-    us = N.epoch_us(f.text("timestamp"))
+    texts = {n: f.text(n) for n in required}
+    texts["state"] = F.upper(texts["state"])
+    texts["label"] = F.coalesce(f.text("label"), f.text("attack_category"))
+    numbers = ["duration", "src_packets", "dst_packets", "src_bytes", "dst_bytes"]
+
+    def whole(name: str) -> Column:
+        return N.accept_integer(F.col(f"d_{name}"))
+
     parts = {
-        "ts_us": us, "timestamp": N.us_text(us),
-        "src_ip": N.ip_text(f.text("src_ip")), "dst_ip": N.ip_text(f.text("dst_ip")),
-        "src_port": N.port(f.text("src_port")), "dst_port": N.port(f.text("dst_port")),
-        "protocol": N.protocol(f.text("protocol")),
-        "duration_ms": N.number(f.text("duration"), 1000.0),
-        "packets": N.integer(f.text("src_packets")) + N.integer(f.text("dst_packets")),
-        "bytes_sent": N.integer(f.text("src_bytes")),
-        "bytes_received": N.integer(f.text("dst_bytes")),
-        "syn_count": F.lit(0).cast("bigint"), "rst_count": (state == "RST").cast("bigint"),
-        "label": N.dataset_label(label),
+        "ts_us": F.unix_micros("ts"), "timestamp": N.timestamp_text_utc("ts"),
+        "src_ip": N.ip_text("t_src_ip"), "dst_ip": N.ip_text("t_dst_ip"),
+        "src_port": N.accept_port(F.col("d_src_port")),
+        "dst_port": N.accept_port(F.col("d_dst_port")),
+        "protocol": N.protocol("t_protocol"),
+        "duration_ms": N.accept_number(F.col("d_duration"), 1000.0),
+        "packets": whole("src_packets") + whole("dst_packets"),
+        "bytes_sent": whole("src_bytes"), "bytes_received": whole("dst_bytes"),
+        "syn_count": F.lit(0).cast("bigint"),
+        "rst_count": (F.col("t_state") == "RST").cast("bigint"),
+        "label": N.dataset_label("t_label"),
     }
-    present = {n: f.text(n) for n in needed if n not in ("src_port", "dst_port")}
-    return _finish(raw, list(keep), parts, present | {"label": label}, state.isin("REQ", "RST"))
+    needed = [n for n in texts if n not in ("src_port", "dst_port")]
+    return _typed(raw, list(keep), texts, numbers,
+                  F.timestamp_micros(N.epoch_us("t_timestamp")), parts, needed,
+                  F.col("t_state").isin("REQ", "RST"))
 
 
 def reject_rows(normalized: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,13 +135,20 @@ def strict_rows(normalized: DataFrame) -> DataFrame:
 def contextualize(valid: DataFrame, order: list[str], block: list[str] | None = None,
                   strict: bool = True) -> DataFrame:
     """60-second context in arrival order. A source whose time runs backwards fails the job, or
-    with ``strict=False`` loses the reversed rows to the caller's reject table."""
-    checked = time_reversals(valid, ["src_ip"], seq=order, block=block)
+    with ``strict=False`` loses the reversed rows to the caller's reject table.
+
+    The text is parsed once into a columnar table; the passes that follow read the columns they need.
+    """
+    rows = stage(valid, "normalized")
+    checked = time_reversals(rows, ["src_ip"], seq=order, block=block)
     if strict:
         checked = checked.filter(F.when(~F.col("reversed"), F.lit(True)).otherwise(F.raise_error(
             F.concat(F.lit("time runs backwards in source "), F.col("src_ip"))).cast("boolean")))
     else:
         checked = checked.filter(~F.col("reversed"))
+    if strict:
+        checked.agg(F.count_if("reversed")).first()
+        checked = rows
     return with_context(checked.drop("reversed", "previous_ts"), ["src_ip"], seq=order,
                         failed=F.col("failed"))
 
