@@ -16,7 +16,7 @@ from flowrisk.operators.evaluate import calibrate_raw, confusion, model_ranking
 from flowrisk.operators.feedback import feedback_cap, features_type, id_digest, ledger_duplicates
 from flowrisk.operators.iforest import IsolationForest
 from flowrisk.operators.splits import model_split
-from flowrisk.session import stage
+from flowrisk.session import shared_dir, stage
 
 L2 = 0.0005
 MAX_STEPS = 800
@@ -83,6 +83,7 @@ def train_logistic(df: DataFrame, max_iter: int = MAX_STEPS) -> LinearModel:
 def train_trees(df: DataFrame, seed: int = 42, rounds: int = 100):
     """Gradient boosted trees: up to 16 leaves, learning rate 0.05."""
     from pyspark.ml.classification import GBTClassifier
+    shared_dir(df.sparkSession)
     rows = df.count()
     return GBTClassifier(featuresCol="features", labelCol="label_int", maxIter=rounds,
                          stepSize=0.05, maxDepth=4, seed=seed, cacheNodeIds=True,

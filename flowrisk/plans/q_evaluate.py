@@ -8,6 +8,7 @@ from flowrisk.constants import FEATURE_NAMES
 from flowrisk.functions.normalize import strict_label_int
 from flowrisk.operators import evaluate as E
 from flowrisk.operators import training as T
+from flowrisk.operators import reports as R
 from flowrisk.operators.splits import chronological_split, model_split
 from flowrisk.plans import fixtures as X
 from flowrisk.plans.oracle import CTX, FLOWS, SCORED, features, with_
@@ -54,20 +55,17 @@ _BENCH = [*SCORED, _SPLIT2, _CAL, _TEST]
 
 
 def split_scored(spark, d):
-    """The scored flows, split; the columns that evaluation needs are written once."""
-    rows = scored(spark, d).select("seq", "ts_us", "label", "p_risk",
-                                   F.round("p_risk", 4).alias("risk_score"))
-    return chronological_split(stage(rows, "scored"), 0.4)
+    return R.split_scores(_real_days(scored(spark, d)), keep=["day_us"])
 
 
-def calibration(split):
-    return E.calibrate_risk(split.filter("split = 'calibration' and label_int = 0"), 0.01)
+def _real_days(rows):
+    """The fixture squeezes 30 days into six minutes; the daily reports undo that."""
+    return rows.withColumn("day_us", F.lit(X.EPOCH_US) + (F.col("ts_us") - F.lit(X.EPOCH_US)) * 7200)
 
 
-def test_rows(split):
-    """Test rows with ``hit`` at the calibrated threshold, a one-row constant."""
-    cut = calibration(split).first()["threshold"]
-    return split.filter("split = 'test'").withColumn("hit", F.col("p_risk") >= F.lit(cut))
+def test_rows(spark, d):
+    split = split_scored(spark, d)
+    return R.test_rows(split, R.calibration(split).first()["threshold"])
 
 
 @query("evaluate", with_(*SCORED, f"c AS (SELECT {_CONFUSION} FROM (SELECT *, is_alert AS hit "
@@ -96,7 +94,7 @@ def split3(spark, d):
     0.01::DOUBLE AS target_false_positive_rate, calibration_false_positive_rate,
     calibration_benign_rows, target_met FROM cal""")
 def calibrate_risk(spark, d):
-    return calibration(split_scored(spark, d))
+    return R.calibration(split_scored(spark, d))
 
 
 @query("calibrate_raw", with_(*SCORED, """b AS (SELECT round(p_model, 12) AS s,
@@ -116,7 +114,7 @@ def calibrate_raw(spark, d):
 @query("metrics6", with_(*_BENCH, f"c AS (SELECT {_CONFUSION} FROM test)") +
        f"SELECT *, {_rates(6)} FROM c")
 def metrics6(spark, d):
-    return E.confusion(test_rows(split_scored(spark, d)), F.col("hit"), 6)
+    return E.confusion(test_rows(spark, d), F.col("hit"), 6)
 
 
 _DAILY = """daily AS (SELECT CAST(make_timestamp(day_us) AS DATE) AS day, count(*) AS rows,
@@ -124,38 +122,29 @@ _DAILY = """daily AS (SELECT CAST(make_timestamp(day_us) AS DATE) AS day, count(
     count(*) FILTER (WHERE label_int = 1) AS attack_rows,
     count(*) FILTER (WHERE hit AND label_int = 0) AS false_positives
   FROM (SELECT *, {us} AS day_us FROM {source}) GROUP BY 1)"""
-# The fixture squeezes 30 days into six minutes; the daily reports undo that.
 _REAL_DAY = "1704067200000000 + (ts_us - 1704067200000000) * 7200"
 
 
-def daily(rows):
-    real = F.lit(X.EPOCH_US) + (F.col("ts_us") - F.lit(X.EPOCH_US)) * 7200
-    return E.daily_false_positives(rows.withColumn("day_us", real), F.col("hit"), "day_us")
+def daily(spark, d):
+    return E.daily_false_positives(test_rows(spark, d), F.col("hit"), "day_us")
 
 
 @query("daily_fpr", with_(*_BENCH, _DAILY.format(us=_REAL_DAY, source="test")) + """
   SELECT *, CASE WHEN benign_rows > 0 THEN round(false_positives / benign_rows, 6) ELSE 0.0 END
     AS false_positive_rate FROM daily""")
 def daily_fpr(spark, d):
-    return daily(test_rows(split_scored(spark, d)))
+    return daily(spark, d)
 
 
 @query("fp_per_day", with_(*_BENCH, _DAILY.format(us=_REAL_DAY, source="test")) + """
   SELECT count(*) AS days, CAST(sum(false_positives) AS BIGINT) AS false_positive,
     round(sum(false_positives) / greatest(count(*), 1), 6) AS false_positives_per_day FROM daily""")
 def fp_per_day(spark, d):
-    return E.false_positives_per_day(daily(test_rows(split_scored(spark, d))))
+    return E.false_positives_per_day(daily(spark, d))
 
 
 def report(spark, d):
-    """The benchmark report as one row. The test period is read once per grain, days first."""
-    split = split_scored(spark, d)
-    cut = calibration(split).first().asDict()
-    rows = split.filter("split = 'test'").withColumn("hit", F.col("p_risk") >= F.lit(cut["threshold"]))
-    metrics = E.confusion(rows, F.col("hit"), 6)
-    per_day = E.false_positives_per_day(daily(rows)).drop("false_positive")
-    known = [F.lit(v).alias(k) for k, v in cut.items()]
-    return E.one_row_join(metrics, per_day).select("*", *known)
+    return R.benchmark_report(_real_days(scored(spark, d)), day_us="day_us")[0]
 
 
 _REPORT = [*_BENCH, f"c AS (SELECT {_CONFUSION} FROM test)", f"m AS (SELECT *, {_rates(6)} FROM c)",
@@ -268,7 +257,7 @@ def train_logistic(spark, d):
 @query("train_gbt")
 def train_gbt(spark, d):
     rows = training_rows(spark, d)
-    return _confusion_at(T.score_trees(T.train_trees(rows, rounds=20), rows), 0.5)
+    return _confusion_at(T.score_trees(T.train_trees(rows), rows), 0.5)
 
 
 @query("train_iforest")
@@ -280,7 +269,7 @@ def train_iforest(spark, d):
 
 
 def compared(spark, d):
-    return T.compare_models(stage(X.context_flows(spark, d), "flows"), target_fpr=0.01, rounds=20)
+    return T.compare_models(stage(X.context_flows(spark, d), "flows"), target_fpr=0.01)
 
 
 @query("compare_models")

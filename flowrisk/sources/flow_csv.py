@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from flowrisk.constants import FLOW_COLUMNS
+from flowrisk.functions.normalize import timestamp
 
 _CASTS = {
     "src_port": "int", "dst_port": "int", "duration_ms": "double", "packets": "bigint",
@@ -32,7 +33,14 @@ def parse_flow_rows(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
 
 
 def read_flow_csv(spark: SparkSession, path: str) -> DataFrame:
-    return parse_flow_rows(spark.read.csv(path, header=True, inferSchema=False))
+    """Flows with ``seq``, a number that rises along a file, and ``ts_us`` (naive times are UTC).
+
+    The number is not dense: no pass over the data is needed to give it out.
+    """
+    raw = spark.read.csv(path, header=True, inferSchema=False)
+    check_columns(raw.columns)
+    flows = parse_flow_rows(raw.withColumn("seq", F.monotonically_increasing_id()), ["seq"])
+    return flows.withColumn("ts_us", F.unix_micros(timestamp("timestamp")))
 
 
 def write_flow_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
