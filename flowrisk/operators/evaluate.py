@@ -42,7 +42,8 @@ def calibrate_risk(benign: DataFrame, target_fpr: float, score: str = "risk_scor
         F.sum(F.when(F.col("s") >= HIGHEST, F.col("n")).otherwise(0)).alias("top"))
     achieved = F.coalesce("above", "top") / F.col("rows")
     return found.select(
-        F.coalesce(F.round(F.greatest("s", F.lit(LOWEST)), 6), F.lit(HIGHEST)).alias("threshold"),
+        F.when(F.col("s").isNull(), F.lit(HIGHEST)).otherwise(
+            F.round(F.greatest("s", F.lit(LOWEST)), 6)).alias("threshold"),
         F.coalesce("s", F.lit(BELOW_HIGHEST)).alias("boundary_score"),
         F.lit(target_fpr).alias("target_false_positive_rate"),
         F.round(achieved, 6).alias("calibration_false_positive_rate"),

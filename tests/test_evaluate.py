@@ -47,7 +47,7 @@ def test_split_arguments(spark):
         with pytest.raises(ValueError, match="fraction"):
             call(flows(spark, 30, 1))
     with pytest.raises(ValueError, match="test period lacks"):
-        chronological_split(flows(spark, 30, 1).filter("seq < 12 or label = 'benign'"))
+        chronological_split(flows(spark, 30, 1).filter("seq < 6 or label = 'benign'"))
     with pytest.raises(Exception, match="unsupported label"):
         chronological_split(flows(spark, 30, 1).withColumn("label", F.lit("odd")))
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from flowrisk.operators import response as R
 from flowrisk.sources.allowlist import allowlist_ranges, parse_allowlist, read_allowlist
 
-NOW = F.lit("2026-01-01 00:00:00").cast("timestamp")
+def now():
+    return F.lit("2026-01-01 00:00:00").cast("timestamp")
+
 
 
 def targets(spark, *addresses):
@@ -21,7 +23,7 @@ def test_plan_protects_local_and_allowlisted_addresses(spark, tmp_path):
     given = ["8.8.8.8", "8.8.8.8", "2001:0DB8:2::1", "192.168.1.1", "198.51.100.9", "2001:db8:1::5",
              "0.0.0.0", "::", "224.0.0.9", "127.0.0.5", "::1", "fe80::1", "ff02::1", "nonsense",
              "198.51.101.1"]
-    plan = {r.remote_address: r for r in R.block_plan(targets(spark, *given), networks, 600, NOW)
+    plan = {r.remote_address: r for r in R.block_plan(targets(spark, *given), networks, 600, now())
             .collect()}
     assert set(plan) == {"8.8.8.8", "2001:db8:2::1", "198.51.101.1"}
     one = plan["8.8.8.8"]
@@ -67,4 +69,4 @@ def test_only_expired_managed_rules_are_selected(spark):
             ("foreign", ["foreign"], "2025-01-01T00:00:00+00:00"), (p + "odd", None, "soon"),
             (p + "mixed", [p + "x", "foreign"], "2025-01-01T00:00:00+00:00")]
     ledger = spark.createDataFrame(data, "name string, names array<string>, expires_at string")
-    assert sorted(r.name for r in R.expired_blocks(ledger, NOW).collect()) == [p + "naive", p + "old"]
+    assert sorted(r.name for r in R.expired_blocks(ledger, now()).collect()) == [p + "naive", p + "old"]
