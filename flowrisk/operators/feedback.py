@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowrisk.constants import ALERT_ID_PATTERN, FEATURE_NAMES, SEVERITIES
+from flowrisk.functions.barrier import computed_once
 
 SEARCH_FIELDS = ["timestamp", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "severity",
                  "process_id", "process_name", "direction", "connection_state", "model_algorithm",
@@ -136,8 +137,9 @@ def review_entries(alerts: DataFrame, pending: DataFrame, reviewed: DataFrame, d
         problem = (problem.when(F.col("feedback_label") != "false_positive",
                                 "only false_positive can be approved")
                    .when(~_snapshot_ok(), "the alert lacks a complete feature snapshot"))
-    checked = joined.filter(F.when(problem.isNull(), F.lit(True)).otherwise(F.raise_error(
-        F.concat_ws(" ", problem, F.col("alert_id"))).cast("boolean")))
+    checked = computed_once(joined.withColumn("_problem", problem)).filter(
+        F.when(F.col("_problem").isNull(), F.lit(True)).otherwise(F.raise_error(
+            F.concat_ws(" ", "_problem", "alert_id")).cast("boolean")))
     approved = decision == "approve"
     features = F.struct(*[F.col(f"feature_snapshot.{n}").cast("double").alias(n)
                           for n in FEATURE_NAMES])

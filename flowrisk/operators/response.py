@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowrisk.functions.barrier import computed_once
 from flowrisk.functions.normalize import ip_text, ipv4_number, is_ipv4, iso_text
 
 RULE_PREFIX = "flowrisk-block-"
@@ -76,7 +77,7 @@ def block_plan(targets: DataFrame, networks: list, duration: int, created_at: Co
     candidates = (targets.select(ip_text(address).alias("remote_address")).distinct()
                   .filter("remote_address is not null")
                   .withColumn("_bits", address_bits("remote_address")))
-    open_to_block = candidates.filter(~in_networks("_bits", [*local, *networks]))
+    open_to_block = computed_once(candidates).filter(~in_networks("_bits", [*local, *networks]))
     name = F.concat(F.lit(prefix), F.substring(F.sha2("remote_address", 256), 1, 16))
     expires = F.timestamp_micros(F.unix_micros(created_at) + duration * 1_000_000)
     return open_to_block.select(
@@ -92,6 +93,7 @@ def rejected_targets(targets: DataFrame, networks: list, address: str = "src_ip"
     local = [ipaddress.ip_network(n) for n in LOCAL_NETWORKS]
     rows = (targets.select(F.col(address).alias("given"), ip_text(address).alias("remote_address"))
             .distinct().withColumn("_bits", address_bits("remote_address")))
+    rows = computed_once(rows)
     reason = (F.when(F.col("remote_address").isNull(), "not an address")
               .when(in_networks("_bits", local), "local or multicast")
               .when(in_networks("_bits", networks), "allowlisted"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowrisk.constants import CICIDS_ALIASES, FLOW_COLUMNS, UNSW_ALIASES, UNSW_RAW_COLUMNS
 from flowrisk.functions import normalize as N
+from flowrisk.functions.barrier import computed_once
 from flowrisk.operators.context import time_reversals, with_context
 from flowrisk.session import stage
 from flowrisk.sources.order import FILE_ORDER, head_rows, with_file_order
@@ -53,7 +54,7 @@ def _typed(raw: DataFrame, keep: list[str], texts: dict[str, Column], numbers: l
                            missing.alias("_missing"))
     error = F.coalesce("_missing", *[F.when(F.col(n).isNull(), F.lit(f"invalid {n}"))
                                      for n in names])
-    return staged.withColumn("error", error).drop("_missing")
+    return computed_once(staged.withColumn("error", error).drop("_missing"))
 
 
 def normalize_cicids(raw: DataFrame, timestamp_format: str | None = None,

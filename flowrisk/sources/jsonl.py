@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowrisk.constants import ALERT_ID_PATTERN
+from flowrisk.functions.barrier import computed_once
 
 
 def parse_tolerant(lines: DataFrame, schema: T.StructType, column: str = "value",
@@ -18,8 +19,8 @@ def parse_tolerant(lines: DataFrame, schema: T.StructType, column: str = "value"
     full = T.StructType(schema.fields + [T.StructField("_corrupt", T.StringType())])
     parsed = F.from_json(text, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     is_object = F.col("_row._corrupt").isNull() & F.trim(text).startswith("{")
-    return (lines.filter(F.trim(text) != "").select(*keep, text, parsed.alias("_row"))
-            .select(*keep, *[F.when(is_object, F.col(f"_row.{f.name}")).alias(f.name)
+    rows = lines.filter(F.trim(text) != "").select(*keep, text, parsed.alias("_row"))
+    return (computed_once(rows).select(*keep, *[F.when(is_object, F.col(f"_row.{f.name}")).alias(f.name)
                              for f in schema], (~is_object).alias("is_bad")))
 
 
