@@ -104,25 +104,42 @@ def model_probability(model: LinearModel) -> Column:
 def with_explanation(df: DataFrame, model: LinearModel, limit: int = 3) -> DataFrame:
     """Add ``top_features``, the strongest contributions by rounded size, then name.
 
-    Needs the ``f_*`` columns. Sorting an array of structs keeps this inside generated code.
+    Needs the ``f_*`` columns. Sorting an array of structs keeps this inside generated code, and only
+    the chosen entries get their other numbers rounded, which is the costly part.
     """
     if limit < 1:
         raise ValueError("limit must be at least 1")
-    parts = df.withColumns({f"_c_{n}": c for n, c in zip(FEATURE_NAMES, contributions(model))})
+    parts = df.withColumns({f"_c_{n}": F.round(c, 6)
+                            for n, c in zip(FEATURE_NAMES, contributions(model))})
     entries = [F.struct(
-        (-F.abs(F.round(f"_c_{name}", 6))).alias("order"), F.lit(name).alias("name"),
-        F.round(f"f_{name}", 6).alias("value"), F.round(x, 6).alias("standardized_value"),
-        F.lit(round(weight, 6)).alias("weight"), F.round(f"_c_{name}", 6).alias("contribution"),
-        F.when(F.col(f"_c_{name}") >= 0, "raises_risk").otherwise("lowers_risk").alias("direction"))
+        (-F.abs(F.col(f"_c_{name}"))).alias("order"), F.lit(name).alias("name"),
+        F.col(f"f_{name}").alias("value"), x.alias("standardized_value"),
+        F.lit(round(weight, 6)).alias("weight"), F.col(f"_c_{name}").alias("contribution"),
+        F.when(F.lit(weight) * x >= 0, "raises_risk").otherwise("lowers_risk").alias("direction"))
         for name, weight, x in zip(FEATURE_NAMES, model.weights, _standardized(model))]
     ranked = parts.withColumn("_ranked", F.sort_array(F.array(*entries)))
+    rounded = ("value", "standardized_value")
     fields = ("name", "value", "standardized_value", "weight", "contribution", "direction")
-    top = F.array(*[F.struct(*[F.col("_ranked")[i][f].alias(f) for f in fields])
-                    for i in range(min(limit, len(FEATURE_NAMES)))])
+
+    def entry(i: int) -> Column:
+        picked = F.col("_ranked")[i]
+        return F.struct(*[(F.round(picked[f], 6) if f in rounded else picked[f]).alias(f)
+                          for f in fields])
+
+    top = F.array(*[entry(i) for i in range(min(limit, len(FEATURE_NAMES)))])
     return ranked.withColumn("top_features", top).drop(
         "_ranked", *[f"_c_{n}" for n in FEATURE_NAMES])
 
 
+# Features that can have a fraction; the others are whole numbers and need no rounding.
+FRACTIONAL = {"duration_ms", "avg_packet_bytes", "syn_ratio", "rst_ratio"}
+
+
+def feature_snapshot() -> Column:
+    return F.struct(*[(F.round(f"f_{n}", 6) if n in FRACTIONAL else F.col(f"f_{n}")).alias(n)
+                      for n in FEATURE_NAMES])
+
+
 def check_threshold(threshold: float) -> None:
     if not 0.0 < threshold < 1.0:
         raise ValueError("threshold must be between 0 and 1")
@@ -165,4 +182,4 @@ def detections(df: DataFrame, model: LinearModel = BASELINE, threshold: float =
         "top_features",
         F.lit(model.algorithm).alias("model_algorithm"),
         F.lit(model.version).alias("model_version"),
-        F.struct(*[F.round(f"f_{n}", 6).alias(n) for n in FEATURE_NAMES]).alias("feature_snapshot"))
+        feature_snapshot().alias("feature_snapshot"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowrisk.functions.normalize import us_text
 from flowrisk.operators.context import with_context
+from flowrisk.session import stage
 
 FILE_ORDER = ["file", "pkt_no"]
 
@@ -55,7 +56,10 @@ def aggregate_flows(packets: DataFrame, bidirectional: bool = True,
 
 def capture_flows(packets: DataFrame, bidirectional: bool = True,
                   order: list[str] = FILE_ORDER) -> DataFrame:
-    """Flows with text timestamps and their 60-second context."""
-    flows = aggregate_flows(packets, bidirectional, order)
+    """Flows with text timestamps and their 60-second context.
+
+    The flows are written once: the context reads them several times, the packets only here.
+    """
+    flows = stage(aggregate_flows(packets, bidirectional, order), "flows")
     return with_context(flows, ["src_ip"], seq=[f"first_{c}" for c in order]).withColumn(
         "timestamp", us_text("ts_us")).withColumn("label", F.lit(None).cast("string"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowrisk.constants import FAILED_STATES, SERVER_PORTS, SYN_STATES
 from flowrisk.functions.normalize import us_text
 from flowrisk.operators.context import with_context
+from flowrisk.session import stage
 
 KEY = ["local_address", "local_port", "remote_address", "remote_port", "pid"]
 PROCESS = ["host", "src_ip", "pid", "direction"]
@@ -55,5 +56,5 @@ def observations(snapshots: DataFrame) -> DataFrame:
 
     Needs ``ts_us``, the poll's time. Connections of one poll keep their key order.
     """
-    flows = as_flows(new_connections(snapshots))
+    flows = stage(as_flows(new_connections(snapshots)), "connections")
     return with_context(flows, PROCESS, seq=ORDER, failed=F.col("failed"))

@@ -9,6 +9,7 @@ from flowrisk.constants import WINDOW_US
 from flowrisk.operators.context import with_context
 from flowrisk.operators.running import max_before
 from flowrisk.operators.snapshots import KEY, new_connections
+from flowrisk.session import stage
 from flowrisk.streaming.state import StateTable
 
 
@@ -47,12 +48,13 @@ class StreamingContext:
             new, late = new.withColumn("_seen", F.lit(None).cast("bigint")), F.lit(False)
         if mark is not None:
             late = late | (F.col(self.ts) < mark)
-        late = late & ~F.col("_old")
-        helpers = ["_failed", "_epoch", "_old", "_seen", "_mark"]
+        helpers = ["_failed", "_epoch", "_old", "_seen", "_mark", "_late"]
+        new = stage(new.withColumn("_late", late & ~F.col("_old")), "batch")
+        late = F.col("_late")
         newest = batch.agg(F.max(self.ts)).first()[0]
         mark = max([m for m in (mark, None if newest is None else newest - self.delay)
                     if m is not None], default=None)
-        good = new.filter(~late).drop("_seen")
+        good = new.filter(~late).drop("_seen", "_late")
         result = with_context(good, self.keys, self.ts, ["_epoch", *self.seq], self.port,
                               F.col("_failed")).filter(~F.col("_old")).drop(*helpers)
         rest = good.filter(F.col(self.ts) >= mark - WINDOW_US) if mark is not None else good

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from flowrisk.functions.model import BASELINE, LinearModel
 from flowrisk.functions.scoring import detections
 from flowrisk.operators.snapshots import ORDER, PROCESS, as_flows
+from flowrisk.session import stage
 from flowrisk.streaming.context import StreamingConnections, StreamingContext
 from flowrisk.streaming.state import run, write_epoch
 
@@ -51,7 +52,7 @@ def monitor(stream: DataFrame, folder: str, model: LinearModel = BASELINE, thres
     context = StreamingContext(folder, PROCESS, ORDER, check_order=False)
 
     def process(batch: DataFrame, epoch: int) -> None:
-        flows = as_flows(connections.process(batch, epoch))
+        flows = stage(as_flows(connections.process(batch, epoch)), "connections")
         rows, _ = context.process(flows, epoch, F.col("failed"))
         scored = detections(rows, model, threshold,
                             keep=["host", "ts_us", "src_port", "pid", "state", "direction"])
