@@ -34,3 +34,27 @@ def kth_smallest(df: DataFrame, column: str, k: int):
                 break
             k -= count
     return lo
+
+
+def percentiles(df: DataFrame, column: str, points: list[float]) -> DataFrame:
+    """One row: mean, the given percentiles with linear interpolation, and the maximum.
+
+    Each percentile lies between two neighbouring order statistics; no task holds the values.
+    """
+    values = df.select(F.col(column).alias("v")).filter(F.col("v").isNotNull())
+    n, mean, top = values.agg(F.count("v"), F.avg("v"), F.max("v")).first()
+    if not n:
+        raise ValueError("no values")
+    found = {"mean": mean}
+    for p in points:
+        place = (n - 1) * p
+        rank, part = int(place), place - int(place)
+        low = high = kth_smallest(values, "v", rank + 1)
+        if part:
+            upto, above = values.agg(F.count_if(F.col("v") <= F.lit(low)),
+                                     F.min(F.when(F.col("v") > F.lit(low), F.col("v")))).first()
+            high = low if upto >= rank + 2 else above
+        found[f"p{round(p * 100)}"] = low * (1.0 - part) + high * part
+    found["max"] = top
+    row = df.sparkSession.range(1)
+    return row.select(*[F.round(F.lit(float(v)), 6).alias(k) for k, v in found.items()])

@@ -9,7 +9,8 @@ from flowrisk.functions.normalize import strict_label_int
 from flowrisk.operators import evaluate as E
 from flowrisk.operators import training as T
 from flowrisk.operators import reports as R
-from flowrisk.operators.splits import chronological_split, model_split
+from flowrisk.operators.select import percentiles
+from flowrisk.operators.splits import model_split
 from flowrisk.plans import fixtures as X
 from flowrisk.plans.oracle import CTX, FLOWS, SCORED, features, with_
 from flowrisk.plans.q_scoring import scored
@@ -227,16 +228,12 @@ def class_counts(spark, d):
     return T.class_counts(X.flows(spark, d).withColumn("label_int", strict_label_int("label")))
 
 
-@query("latency_percentiles", """SELECT event_type, round(avg(value), 6) AS mean,
+@query("latency_percentiles", """SELECT round(avg(value), 6) AS mean,
     round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95,
-    round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS max FROM events GROUP BY 1""")
+    round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS max FROM events""")
 def latency_percentiles(spark, d):
     """Percentiles with linear interpolation over a table of measurements."""
-    points = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    rows = X.table(spark, d, "events").groupBy("event_type").agg(
-        F.round(F.avg("value"), 6).alias("mean"), points.alias("p"), F.max("value").alias("max"))
-    return rows.select("event_type", "mean", *[F.round(F.col("p")[i], 6).alias(n) for i, n in
-                                               enumerate(("p50", "p95", "p99"))], "max")
+    return percentiles(X.table(spark, d, "events"), "value", [0.5, 0.95, 0.99])
 
 
 def training_rows(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowrisk.operators.context import time_reversals, with_context
 from flowrisk.operators.running import max_before
-from flowrisk.operators.select import kth_smallest
+from flowrisk.operators.select import kth_smallest, percentiles
 from flowrisk.streaming.context import StreamingContext
 
 SCHEMA = "src_ip string, ts_us bigint, seq bigint, dst_port int, rst_count bigint"
@@ -81,6 +81,12 @@ def test_reversals_and_running_maximum_cross_blocks(spark):
     assert {r.seq: r.top for r in seen.collect()} == {k: v[1] for k, v in want.items()}
 
 
+def test_percentiles_interpolate(spark):
+    df = spark.createDataFrame([(v,) for v in (4.0, 1.0, 1.0, 2.0, 10.0, 3.0)], "v double")
+    row = percentiles(df, "v", [0.0, 0.5, 0.95, 1.0]).first()
+    assert (row.mean, row.p0, row.p50, row.p95, row.p100, row.max) == (3.5, 1.0, 2.5, 8.5, 10.0, 10.0)
+
+
 @pytest.mark.parametrize("kind", ["bigint", "double"])
 def test_order_statistic(spark, kind):
     rng = random.Random(3)
