@@ -36,5 +36,6 @@ def benchmark_report(scored: DataFrame, fraction: float = 0.4, target_fpr: float
     daily = E.daily_false_positives(rows, F.col("hit"), day_us)
     per_day = E.false_positives_per_day(daily).drop("false_positive")
     report = E.one_row_join(E.confusion(rows, F.col("hit"), 6), per_day).withColumns(
-        {name: F.lit(value) for name, value in cut.items()})
+        {name: F.lit(value).cast("bigint") if type(value) is int else F.lit(value)
+         for name, value in cut.items()})
     return report, daily

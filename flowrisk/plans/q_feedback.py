@@ -12,7 +12,7 @@ from flowrisk.operators import feedback as B
 from flowrisk.operators import response as R
 from flowrisk.operators.training import feedback_cap, training_union
 from flowrisk.plans import fixtures as X
-from flowrisk.plans.oracle import ALERTS, CTX, FEATURES, FLOWS, with_
+from flowrisk.plans.oracle import ALERTS, FEATURES, FLOWS, with_
 from flowrisk.plans.q_scoring import alerts
 from flowrisk.plans.registry import query
 

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowrisk.functions.normalize import us_text
 from flowrisk.functions.scoring import with_scores
 from flowrisk.operators.context import time_reversals, with_context
 from flowrisk.operators.flows import aggregate_flows, capture_flows, with_flow_key
-from flowrisk.operators.snapshots import (ORDER, PROCESS, new_connections, observations,
-                                          with_direction)
+from flowrisk.operators.snapshots import new_connections, observations, with_direction
 from flowrisk.plans import fixtures as X
 from flowrisk.plans.oracle import (CTX, EPOCH_US, FLOWS, PACKETS, SNAPSHOTS, context, iso, scored,
                                    with_)

@@ -1,9 +1,34 @@
+from pathlib import Path
+
+import duckdb
+import pytest
+
 import __spark_entry__ as entry
+from tools.check import rows
 
+DATA = Path("/root/testdata/sf0.001")
+SAMPLE = ["split2", "split3", "evaluate", "benchmark", "flow_aggregate", "ctx_unique_ports",
+          "row_rejects", "time_reversal", "packet_decode", "new_connections", "review_counters",
+          "latency_percentiles"]
 
-def test_entry_and_registry(spark):
-    assert {r.severity for r in entry.entry(spark).collect()} == {"critical", "high", "medium"}
+
+def test_registry():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) >= 95
     assert set(queries) - set(oracles) == {"train_logistic", "train_gbt", "train_iforest",
                                            "compare_models", "model_ranking", "retrain_feedback"}
+
+
+def test_entry(spark):
+    assert {r.severity for r in entry.entry(spark).collect()} == {"critical", "high", "medium"}
+
+
+@pytest.mark.parametrize("name", SAMPLE)
+def test_query_equals_its_sql(spark, name):
+    db = duckdb.connect()
+    for file in DATA.glob("*.parquet"):
+        db.execute(f"create view {file.stem} as select * from '{file}'")
+    cursor = db.execute(entry.oracle_sql()[name])
+    want = rows([c[0] for c in cursor.description], cursor.fetchall())
+    df = entry.queries()[name](spark, str(DATA))
+    assert rows(df.columns, df.collect()) == want
