@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowrisk.llm import packing, token_counts
+from flowrisk.llm import language, packing, quality, token_counts
 from flowrisk.llm.common import table
 from flowrisk.llm.tokens import tokenizer_path
 from flowrisk.session import shared_path
@@ -39,3 +39,13 @@ def op1(spark, sf_dir):
 def op2(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), shared_path(spark, "token_counts"),
                                      tokenizer_path(VOCABULARY))
+
+
+@query("op4_language")
+def op4(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op5_quality_rules")
+def op5(spark, sf_dir):
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
