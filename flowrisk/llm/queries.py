@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowrisk.llm import language, packing, quality, token_counts
+from flowrisk.llm import language, packing, quality, simhash, token_counts
 from flowrisk.llm.common import table
 from flowrisk.llm.tokens import tokenizer_path
 from flowrisk.session import shared_path
@@ -49,3 +49,8 @@ def op4(spark, sf_dir):
 @query("op5_quality_rules")
 def op5(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_simhash")
+def op6(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
