@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowrisk.llm import language, packing, quality, simhash, token_counts
+from flowrisk.llm import chat, language, mixing, packing, quality, simhash, token_counts, topk
 from flowrisk.llm.common import table
 from flowrisk.llm.tokens import tokenizer_path
-from flowrisk.session import shared_path
+from flowrisk.session import shared_path, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +55,21 @@ def op5(spark, sf_dir):
 @query("op6_simhash")
 def op6(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_top_k")
+def op3(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op9_chat_formatting", chat.ORACLE)
+def op9(spark, sf_dir):
+    forged = spark.createDataFrame([(-7, 0, "user", chat.FORGED), (-7, 1, "assistant", chat.FORGED)],
+                                   "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(forged)
+    return chat.digest(stage(chat.format_chats(rows), "formatted"))
+
+
+@query("op10_mixing")
+def op10(spark, sf_dir):
+    return mixing.mixed(table(spark, sf_dir, "documents"))
