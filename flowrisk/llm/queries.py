@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowrisk.llm import chat, language, line_dedup, mixing, packing, quality, simhash, token_counts, topk
+from flowrisk.llm import chat, language, line_dedup, mixing, packing, quality, simhash, substring_dedup, token_counts, topk
 from flowrisk.llm.common import table
 from flowrisk.llm.tokens import tokenizer_path
 from flowrisk.session import shared_path, stage
@@ -80,3 +80,9 @@ def op7(spark, sf_dir):
     return (line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
             .select("row.doc_id", "n_lines", "n_removed", F.length("kept").cast("long").alias("kept_chars"),
                     F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256")))
+
+
+@query("op8_substring_dedup")
+def op8(spark, sf_dir):
+    return (substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+            .withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept"))
