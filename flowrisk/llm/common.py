@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts travel in Arrow batches, so these hold fewer rows than the default."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def plain_text(text: str = "text"):
     """The text column with null as the empty text."""
     return F.coalesce(F.col(text), F.lit(""))

@@ -144,6 +144,17 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, text: str = "te
                       n_removed.cast("long").alias("n_removed"))
 
 
+def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, text: str = "text", key: str = "doc_id",
+                    n_chars: str = "n_chars") -> DataFrame:
+    """The rows with the text that is left and its length in ``n_chars``, if there is one; rows of which nothing is left go."""
+    rows = dedup_lines(docs, least_words, text, key).where("n_removed = 0 or n_removed < n_lines")
+    row = F.col("row").withField(text, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row")[text]))
+    if n_chars in docs.columns:
+        row = row.withField(n_chars, F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema[n_chars].dataType))
+                            .otherwise(F.col("row")[n_chars]))
+    return rows.select(row.alias("row")).select("row.*")
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM d),

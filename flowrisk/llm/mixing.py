@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowrisk.functions.barrier import computed_once
 from flowrisk.llm.common import WORD_SQL, plain_text
 from flowrisk.session import stage
 
@@ -156,3 +157,32 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, **columns) -
                   (F.col("no") == F.col("_no")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0), "left")
             .select(F.col("key").alias(columns.get("key", "doc_id")), "size", "source_size", "target",
                     F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
+
+
+def mixture(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, text: str = "text", source: str = "source",
+            key: str = "doc_id", n_chars: str = "n_chars") -> DataFrame:
+    """The mix as rows of ``docs``: one for each pass that takes words of a document, with the words taken.
+
+    A pass that takes a document whole leaves its text as it is; else the text is the taken words with the white
+    space before each, and ``n_chars``, if there is one, is its length.
+    """
+    placed, _, pieces = taken_pieces(docs, weights, most, text=text, source=source, key=key)
+    copy = Window.partitionBy("key", "tie").orderBy("start")
+    places = placed.where("size > 0").select("no", "start", "key", "tie", "size", F.row_number().over(copy).alias("copy"))
+    parts = (pieces.groupBy("no", "start", "pass")
+             .agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts")))
+    wanted = parts.join(places, ["no", "start"])
+    own = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_tie"),
+                      F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = own.withColumn("_copy", F.row_number().over(Window.partitionBy("_key", "_tie").orderBy(F.lit(0))))
+    rows = own.join(wanted, F.col("_key").eqNullSafe(F.col("key")) & (F.col("_tie") == F.col("tie")) & (F.col("_copy") == F.col("copy")))
+    part = F.col("taken") < F.col("size")
+    worded = F.regexp_extract_all(F.col("row")[text], F.lit(r"[\x20\x09-\x0D]*" + WORD_SQL), F.lit(0))
+    # The barrier keeps the list of words from being made again for every part.
+    rows = computed_once(rows.select("row", "parts", "taken", "size", F.when(part, worded).alias("word")))
+    chosen = F.flatten(F.transform("parts", lambda p: F.slice(F.col("word"), (p["first"] + 1).cast("int"), p["words"].cast("int"))))
+    rows = computed_once(rows.select("row", F.when(part, F.array_join(chosen, "")).alias("cut")))
+    row = F.col("row").withField(text, F.coalesce("cut", F.col("row")[text]))
+    if n_chars in docs.columns:
+        row = row.withField(n_chars, F.coalesce(F.length("cut").cast(docs.schema[n_chars].dataType), F.col("row")[n_chars]))
+    return rows.select(row.alias("row")).select("row.*")

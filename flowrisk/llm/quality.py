@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowrisk.llm.common import WORD, plain_text
 from flowrisk.llm.grams import _ODD, char_grams, code_points, mixed, word_hashes
@@ -144,18 +145,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
     return np.frombuffer(found[0][0]) if found else None
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text",
-                  keep: tuple = ("doc_id",), sample: int = SAMPLE, key: str = "doc_id") -> DataFrame:
-    """``keep`` columns, the base counts, base_failed, score and kept of every row.
-
-    Null text has no words, so it fails the base rules; so does an empty text. Without labelled rows of
-    both classes the base rules alone decide and the score is null. Repeated rows are judged alike; an empty
-    table gives no rows. Of clashing names, those in ``keep`` give way to no other column: keep only what is
-    not called like a result.
-    """
+def judged(docs: DataFrame, labels: DataFrame, threshold: float, text: str, keep: tuple, sample: int,
+           key: str) -> tuple[DataFrame, list[str]]:
+    """The ``keep`` columns under names of their own, which come second, and the verdicts."""
     model = train(docs, labels, sample, text, key)
     names = [f"_keep{i}" for i in range(len(keep))]
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], plain_text(text).alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], plain_text(text).alias("_text"))
 
     def score(batches):
         for batch in batches:
@@ -171,6 +166,24 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
                 [*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                  "score", "kept"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    judged = rows.mapInArrow(score, f"{schema}, {BASE}, base_failed boolean, score double, kept boolean")
-    return judged.withColumnsRenamed(dict(zip(names, keep)))
+    verdict = T._parse_datatype_string(f"{BASE}, base_failed boolean, score double, kept boolean")
+    return rows.mapInArrow(score, T.StructType(rows.schema.fields[:-1] + verdict.fields)), names
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text",
+                  keep: tuple = ("doc_id",), sample: int = SAMPLE, key: str = "doc_id") -> DataFrame:
+    """``keep`` columns, the base counts, base_failed, score and kept of every row.
+
+    Null text has no words, so it fails the base rules; so does an empty text. Without labelled rows of
+    both classes the base rules alone decide and the score is null. Repeated rows are judged alike; an empty
+    table gives no rows. Columns outside ``keep`` are ignored, whatever their names.
+    """
+    rows, names = judged(docs, labels, threshold, text, keep, sample, key)
+    return rows.withColumnsRenamed(dict(zip(names, keep)))
+
+
+def passing(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text",
+            sample: int = SAMPLE, key: str = "doc_id") -> DataFrame:
+    """The rows that pass, with all their columns."""
+    rows, names = judged(docs, labels, threshold, text, tuple(docs.columns), sample, key)
+    return rows.where("kept").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowrisk.llm import chat, language, line_dedup, mixing, packing, quality, simhash, substring_dedup, token_counts, topk
-from flowrisk.llm.common import table
+from flowrisk.llm.common import small_batches, table
 from flowrisk.llm.tokens import tokenizer_path
 from flowrisk.session import shared_path, stage
 
@@ -20,8 +20,7 @@ VOCABULARY = "byte_bpe_50k.json"
 def query(name: str, sql: str | None = None):
     def register(function):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            # Whole texts travel in these batches, so they hold fewer rows than the default.
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+            small_batches(spark)
             return function(spark, sf_dir)
 
         QUERIES[name] = run
