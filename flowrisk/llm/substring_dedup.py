@@ -121,7 +121,7 @@ def repeated_starts(contexts: np.ndarray, low: np.ndarray, high: np.ndarray, gro
     of = group * 512  # groups keep their places in the order
     for row in range(left + length - 1, -1, -1):
         inside = (row >= low) & (row < high)
-        symbol = np.where(inside, contexts[row], 256)[order]  # beyond a document's ends: a symbol of its own
+        symbol = np.where(inside, contexts[row].astype(np.int64), 256)[order]  # beyond a document's ends: a symbol of its own
         perm = np.argsort(of + symbol, kind="stable")
         new = order[perm]
         keys = (of + symbol)[perm]
