@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
-#: Characters of text that a worker holds split into words at one time.
-SLICE_CHARS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,18 +27,6 @@ def plain_text(text: str = "text"):
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def slices(texts: list[str], limit: int = SLICE_CHARS):
-    """(start, end) runs of texts of about ``limit`` characters; a longer text is a run of its own."""
-    start = held = 0
-    for i, text in enumerate(texts):
-        if i > start and held + len(text) > limit:
-            yield start, i
-            start, held = i, 0
-        held += len(text)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, so that later tasks find what earlier ones made."""
     return vars(sys.modules.setdefault("flowrisk_worker_cache", types.ModuleType("flowrisk_worker_cache")))

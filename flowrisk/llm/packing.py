@@ -31,8 +31,8 @@ def cut(docs: DataFrame, path: str, window: int, end_id: int, text: str = "text"
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
-                ids += end
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = encode.packed(text) + end
                 n = len(ids) // 4
                 rows += [(doc, s, min(window, n - s), zlib.crc32(ids[4 * s:4 * (s + window)]), n)
                          for s in range(0, n, window)]
@@ -66,7 +66,9 @@ def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
         free[int(gain.argmax())] = True
         while True:
             index = np.flatnonzero(free)
-            solved = np.linalg.lstsq(a[:, index], b, rcond=None)[0]
+            some = a[:, index]
+            gram = some.T @ some
+            solved = np.linalg.solve(gram + 1e-10 * np.trace(gram) / len(index) * np.eye(len(index)), some.T @ b)
             if solved.size == 0 or solved.min() > 0:
                 x[:] = 0
                 x[index] = solved

@@ -48,7 +48,7 @@ def encode_misses(docs: DataFrame, cache: str, path: str, text: str = "text") ->
     def encode(batches):
         encode_texts = encoder(path)
         for batch in batches:
-            counts = [len(ids) // 4 for ids in encode_texts(batch.column(1).to_pylist())]
+            counts = [len(encode_texts.ids(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([version] * len(counts), pa.binary()), batch.column(0), pa.array(counts, pa.int64())],
                 ["tokenizer", "digest", "n_tokens"])

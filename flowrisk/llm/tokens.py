@@ -1,18 +1,17 @@
-"""Token ids of whole texts as the tokenizer's own library gives them, with a memo of frequent chunks."""
+"""Token ids of whole texts as the tokenizer's own library gives them."""
 
 from __future__ import annotations
 
 import json
 import os
-import re
+from array import array
 
-import numpy as np
+from flowrisk.llm.common import worker_cache
 
-from flowrisk.llm.common import slices, worker_cache
-
-#: Chunks a worker remembers; beyond it the memo starts afresh. Results do not depend on it.
-MEMO_ENTRIES = 300_000
-_SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: The word pattern of byte-level tokenizers that split words by themselves (a fixed value of that format).
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A run of so many characters of one kind goes to the library: the fast encoder is slow on it.
+LONG_WORD = 5000
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,76 +20,75 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write bytes as: printable ones for themselves, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def fast_encoder(kind: dict):
+    """A rank-based encoder with the same ids, or None if the file is of a kind where they could differ.
+
+    Equal results need: byte-level words, no other step, and every token either a byte or the result of one
+    merge, numbered in the order of the merges. Then the pair that merges next is the one whose result has
+    the lowest number, which is how the rank-based encoder picks it.
+    """
+    import tiktoken
+
+    pre, model = kind.get("pre_tokenizer") or {}, kind.get("model") or {}
+    if (pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space")
+            or kind.get("normalizer") or kind.get("truncation") or kind.get("padding") or model.get("type") != "BPE"
+            or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+            or any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in kind.get("added_tokens") or [])):
+        return None
+    letters, vocab = byte_letters(), model["vocab"]
+    added = {x["content"]: x["id"] for x in kind.get("added_tokens") or []}
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    order = [vocab[m] for m in merged]
+    if order != sorted(set(order)) or set(vocab) - set(letters) - set(merged) - set(added):
+        return None
+    ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in added}
+    return tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=added)
+
+
 class Encoder:
-    """Ids (little-endian unsigned 32-bit) of texts.
+    """Ids of texts by the file's library: sentencepiece for .model, tokenizers for .json.
 
-    A byte-level tokenizer with the usual word pattern never joins what stands left and right of a single
-    space between two visible characters: the space opens the next piece. So a text is cut there and each
-    chunk is encoded once by the library and remembered. A text that holds one of the tokenizer's added
-    strings, or a tokenizer of another kind, goes to the library whole.
+    Byte-level .json files go through an encoder that gives the same ids several times faster; texts with
+    very long words, and all other files, go through the library itself.
     """
 
     def __init__(self, path: str):
-        self.memos = [({}, {}), ({}, {})]  # of chunks cut at any space, and at safe spaces: first, later
+        self.fast = None
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.encode = lambda texts: [np.array(x, "<u4").tobytes() for x in model.encode(texts, num_threads=1)]
-            self.added, self.cuts = [], False
+            self.library = lambda texts: model.encode(texts, num_threads=1)
             return
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
+        whole = Tokenizer.from_file(path)
+        self.library = lambda texts: [x.ids for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
         with open(path, encoding="utf-8") as file:
-            kind = json.load(file)
-        pre = kind.get("pre_tokenizer") or {}
-        self.encode = lambda texts: [np.array(x.ids, "<u4").tobytes()
-                                     for x in library.encode_batch_fast(texts, add_special_tokens=False)]
-        self.added = [x["content"] for x in kind.get("added_tokens") or []]
-        self.cuts = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
-                     and not pre.get("add_prefix_space") and not kind.get("normalizer")
-                     and not kind.get("truncation") and not kind.get("padding")
-                     and not any(" " in x for x in self.added))
-
-    def _learn(self, memo: dict, chunks: set, lead: str, strict: bool) -> None:
-        """Ids of new chunks; if strict, None marks one that must not be cut off from its neighbours."""
-        new = list(chunks - memo.keys())
-        if strict:
-            memo.update(dict.fromkeys(c for c in new if (lead and (not c or c[0].isspace()))
-                                      or (c and c[-1].isspace())))
-            new = [c for c in new if c not in memo]
-        memo.update(zip(new, self.encode([lead + c for c in new])))
-
-    def __call__(self, texts: list[str]):
-        """The ids of each text, in order."""
-        for start, end in slices(texts):
-            yield from self._some(texts[start:end])
-
-    def _some(self, texts: list[str]) -> list[bytes]:
-        whole = [not self.cuts or any(x in t for x in self.added) for t in texts]
-        out: list = [None] * len(texts)
-        for i, ids in zip([i for i, w in enumerate(whole) if w],
-                          self.encode([t for t, w in zip(texts, whole) if w])):
-            out[i] = ids
-        left = [i for i, w in enumerate(whole) if not w]
-        for strict, (first, rest) in zip((True, False), self.memos):
-            if not left:
-                break
-            if len(first) + len(rest) > MEMO_ENTRIES:
-                first.clear(), rest.clear()
-            parts = [texts[i].split(" ") if strict else _SAFE_SPACE.split(texts[i]) for i in left]
-            self._learn(first, {p[0] for p in parts}, "", strict)
-            self._learn(rest, set().union(*[p[1:] for p in parts]), " ", strict)
-            again = []
-            for i, p in zip(left, parts):
-                try:
-                    out[i] = first[p[0]] + b"".join(map(rest.__getitem__, p[1:]))
-                except TypeError:
-                    again.append(i)
-            left = again
-        return out
+            self.fast = fast_encoder(json.load(file))
+        self.special = list(self.fast.special_tokens_set) if self.fast else []
+
+    def ids(self, text: str) -> list[int]:
+        if not text:
+            return []
+        if self.fast is None or len(text) > LONG_WORD and max(map(len, text.split(" "))) > LONG_WORD \
+                or " " * LONG_WORD in text:
+            return self.library([text])[0]
+        if any(s in text for s in self.special):
+            return self.fast.encode(text, allowed_special="all", disallowed_special=())
+        return self.fast.encode_ordinary(text)
+
+    def packed(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit numbers."""
+        return array("I", self.ids(text)).tobytes()
 
 
 def encoder(path: str) -> Encoder:
