@@ -97,7 +97,8 @@ def contributions(model: LinearModel) -> list[Column]:
 def model_probability(model: LinearModel) -> Column:
     """Needs the ``f_*`` columns."""
     logit = F.lit(model.bias) + reduce(lambda a, b: a + b, contributions(model))
-    bounded = F.greatest(F.least(logit, F.lit(40.0)), F.lit(-40.0))
+    # greatest and least skip NULL: an unknown feature must not look like a certain attack.
+    bounded = F.when(logit.isNotNull(), F.greatest(F.least(logit, F.lit(40.0)), F.lit(-40.0)))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-bounded))
 
 
@@ -153,11 +154,12 @@ def with_scores(df: DataFrame, model: LinearModel = BASELINE,
         {"p_model": model_probability(model), "p_rule": rule_score()})
     mixed = F.greatest(F.lit(0.70) * F.col("p_model") + F.lit(0.30) * F.col("p_rule"),
                        F.col("p_rule") * F.lit(0.90))
-    scored = scored.withColumn("p_risk", F.least(F.greatest(mixed, F.lit(0.0)), F.lit(1.0)))
+    known = F.col("p_model").isNotNull() & F.col("p_rule").isNotNull()
+    scored = scored.withColumn("p_risk", F.when(known, F.least(F.greatest(mixed, F.lit(0.0)), F.lit(1.0))))
     risk = F.col("p_risk")
     return scored.withColumns({
         "severity": F.when(risk >= 0.85, "critical").when(risk >= 0.70, "high")
-                     .when(risk >= threshold, "medium").otherwise("info"),
+                     .when(risk >= threshold, "medium").when(risk.isNotNull(), "info"),
         "is_alert": risk >= threshold,
     })
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowrisk.constants import WINDOW_US
-from flowrisk.operators.running import CELL_LIMIT, lag_in_blocks, running_sums, union_all
+from flowrisk.operators.running import CELL_LIMIT, max_before, running_sums, union_all
 
 # A row at time t is still inside the window of a row at t + 60 s and leaves one microsecond later.
 LEAVES_AFTER = WINDOW_US + 1
@@ -94,6 +94,10 @@ def with_context(df: DataFrame, keys: list[str], ts: str = "ts_us", seq: list[st
 
 def time_reversals(df: DataFrame, keys: list[str], ts: str = "ts_us", seq: list[str] = ("seq",),
                    block: list[str] | None = None) -> DataFrame:
-    """Add ``previous_ts`` and ``reversed``: the row is older than its predecessor in the source."""
-    lagged = lag_in_blocks(df, keys, list(seq), ts, "previous_ts", block)
-    return lagged.withColumn("reversed", F.coalesce(F.col(ts) < F.col("previous_ts"), F.lit(False)))
+    """Add ``previous_ts`` and ``reversed``: the row is older than the newest row before it in its source.
+
+    Reversed rows never are the newest, so that is the newest accepted row, however many are reversed.
+    """
+    block = block or [f"{seq[0]} div {1 << 20}"]
+    seen = max_before(df, keys, list(seq), ts, "previous_ts", block)
+    return seen.withColumn("reversed", F.coalesce(F.col(ts) < F.col("previous_ts"), F.lit(False)))

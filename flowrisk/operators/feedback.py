@@ -73,25 +73,41 @@ def severity_counts(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy("severity").agg(F.count(F.lit(1)).alias("alerts"))
 
 
-def last_per_key(df: DataFrame, key: list[str], order: str) -> DataFrame:
+def last_per_key(df: DataFrame, key: list[str], order) -> DataFrame:
     """The last row of every key. The aggregate reduces a busy key before the shuffle."""
     rest = [c for c in df.columns if c not in key]
     return (df.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_row"))
             .select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest]))
 
 
-def new_feedback(requests: DataFrame, alerts: DataFrame, queue: DataFrame) -> DataFrame:
-    """Requests that target a current alert and are not queued yet, as queue rows."""
-    valid = F.col("alert_id").rlike(ALERT_ID_PATTERN) & (
-        F.length(F.coalesce("note", F.lit(""))) <= 240)
-    return (requests.filter(valid).dropDuplicates(["alert_id"])
-            .join(alerts.select("alert_id"), "alert_id", "left_semi")
+def _request_error() -> Column:
+    return (F.when(~F.coalesce(F.col("alert_id").rlike(ALERT_ID_PATTERN), F.lit(False)), "malformed alert id")
+            .when(F.length(F.coalesce("note", F.lit(""))) > 240, "note longer than 240 characters"))
+
+
+def new_feedback(requests: DataFrame, alerts: DataFrame, queue: DataFrame,
+                 order: list[str] = ("created_at", "note")) -> DataFrame:
+    """Requests that target a current alert and are not queued yet, as queue rows.
+
+    The first request for an alert along ``order`` wins. ``rejected_feedback`` has the invalid ones.
+    """
+    first = requests.filter(_request_error().isNull()).groupBy("alert_id").agg(
+        F.min_by(F.struct("note", "created_at"), F.struct(*order)).alias("_row"))
+    return (first.join(alerts.select("alert_id"), "alert_id", "left_semi")
             .join(queue.select("alert_id"), "alert_id", "left_anti")
-            .select("alert_id", F.lit("false_positive").alias("label"), "note",
-                    F.lit("pending").alias("review_status"), "created_at"))
+            .select("alert_id", F.lit("false_positive").alias("label"), "_row.note",
+                    F.lit("pending").alias("review_status"), "_row.created_at"))
+
+
+def rejected_feedback(requests: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Requests that cannot be queued, with the reason: malformed, too long, or for no current alert."""
+    known = alerts.select(F.col("alert_id").alias("_known")).distinct()
+    joined = requests.join(known, F.col("alert_id") == F.col("_known"), "left")
+    error = F.coalesce(_request_error(), F.when(F.col("_known").isNull(), "no such alert"))
+    return joined.withColumn("error", error).drop("_known").filter("error is not null")
 
 
-def open_reviews(pending: DataFrame, order: str) -> DataFrame:
+def open_reviews(pending: DataFrame, order) -> DataFrame:
     """Pending rows with a well-formed id, the last one per id."""
     rows = pending.filter((F.col("review_status") == "pending")
                           & F.col("alert_id").rlike(ALERT_ID_PATTERN))
@@ -129,8 +145,10 @@ def review_entries(alerts: DataFrame, pending: DataFrame, reviewed: DataFrame, d
         selected.select("alert_id").distinct(), "alert_id", "left_semi")
     todo = todo.join(reviewed.select("alert_id"), "alert_id", "left_anti").select(
         "alert_id", F.coalesce("label", F.lit("")).alias("feedback_label"))
-    source = alerts.select("alert_id", "model_version", "feature_snapshot",
-                           F.lit(True).alias("_found")).dropDuplicates(["alert_id"])
+    # Alerts with one id agree in all fields that the id is made of, also in these.
+    source = alerts.groupBy("alert_id").agg(
+        F.max(F.struct("model_version", "feature_snapshot")).alias("_alert")).select(
+        "alert_id", "_alert.model_version", "_alert.feature_snapshot", F.lit(True).alias("_found"))
     joined = todo.join(source, "alert_id", "left")
     problem = F.when(F.col("_found").isNull(), "no alert for this feedback")
     if decision == "approve":
@@ -184,7 +202,9 @@ def feedback_cap(base_rows: int, max_fraction: float = 0.20) -> int:
 def id_digest(ids: DataFrame, column: str = "alert_id") -> DataFrame:
     """One digest of a set of ids, in two levels: ids sharing four leading digits are hashed in
     order, then the at most 65,536 digests. No task ever holds the whole list."""
-    groups = (ids.select(F.col(column).alias("id")).groupBy(F.substring("id", 1, 4).alias("p"))
+    wrong = F.raise_error(F.concat(F.lit("no alert id: "), F.col(column))).cast("string")
+    checked = F.when(F.col(column).rlike(ALERT_ID_PATTERN), F.col(column)).otherwise(wrong)
+    groups = (ids.select(checked.alias("id")).groupBy(F.substring("id", 1, 4).alias("p"))
               .agg(F.count(F.lit(1)).alias("n"),
                    F.sha2(F.array_join(F.sort_array(F.collect_list("id")), "\n"), 256).alias("h")))
     return groups.agg(F.sum("n").alias("ids"), F.sha2(F.array_join(F.transform(

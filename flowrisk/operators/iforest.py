@@ -49,31 +49,27 @@ class IsolationForest:
             trees: int = TREES, sample: int = SAMPLE) -> IsolationForest:
         """Rows are drawn by a hash of ``key``, so the same data gives the same forest.
 
-        With enough rows the trees get disjoint samples drawn in one pass. With few rows every
-        tree draws its own sample from all of them.
+        A tree's sample is the rows with the lowest hashes for that tree. Rows whose hash is far above what
+        a full sample needs are left out before the rows of the trees are made.
         """
         rows = df.count()
         if rows == 0:
             raise ValueError("no rows to fit on")
         wanted = min(sample, rows)
-        if rows >= 4 * trees * sample:
-            keep = math.ceil(2 * trees * sample / rows * 2 ** 31)
-            drawn = df.filter(F.expr(f"pmod(xxhash64({key}, {seed}), {2 ** 31}) < {keep}")).select(
-                *features, F.expr(f"cast(pmod(xxhash64({key}, {seed + 1}), {trees}) as int)")
-                .alias("tree"), F.expr(f"xxhash64({key}, {seed + 2})").alias("_h"))
-        else:
-            drawn = df.select(*features, key, F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-                              .alias("tree")).withColumn(
-                "_h", F.expr(f"xxhash64({key}, tree, {seed})")).drop(key)
+        bound = min(2 ** 31, math.ceil((4 * wanted + 100) / rows * 2 ** 31))
+        near = F.expr(f"filter(transform(sequence(0, {trees - 1}), t -> struct(cast(t as int) as tree, "
+                      f"xxhash64({key}, t, {seed}) as _h)), x -> pmod(x._h, {2 ** 31}) < {bound})")
+        drawn = df.select(*features, F.inline(near)).withColumn(
+            "_h", F.expr(f"struct(pmod(_h, {2 ** 31}), _h)"))
         place = Window.partitionBy("tree").orderBy("_h")
-        sampled = (drawn.withColumn("_rank", F.row_number().over(place))
-                   .filter(F.col("_rank") <= wanted))
+        sampled = (drawn.withColumn("_order", F.row_number().over(place))
+                   .filter(F.col("_order") <= wanted).drop("_h"))
         limit = max(1, math.ceil(math.log2(max(wanted, 2))))
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:
             tree = int(pdf["tree"].iloc[0])
             nodes: list = []
-            points = pdf.sort_values("_h")[features].to_numpy(float)
+            points = pdf.sort_values("_order")[features].to_numpy(float)
             _grow(points, np.random.default_rng([seed, tree]), 0, limit, nodes)
             out = pd.DataFrame(nodes, columns=["node", "feature", "cut", "left", "right", "length"])
             out.insert(0, "tree", tree)

@@ -96,27 +96,6 @@ def running_sums(events: DataFrame, group: list[str], time: str, order: list[str
             .drop("_start", *used, *[f"_sum_{m}" for m in measures]))
 
 
-def lag_in_blocks(df: DataFrame, group: list[str], order: list[str], value: str, out: str,
-                  block: list[str] | None = None) -> DataFrame:
-    """``lag(value)`` per group along ``order``, one block of a group's rows per task at most.
-
-    ``block`` are expressions that cut the order into bounded pieces; by default a million
-    consecutive numbers of the first order column. The first row of a piece takes the last value
-    of the group's previous piece.
-    """
-    block = block or [f"{order[0]} div {1 << 20}"]
-    names = [f"_b{i}" for i in range(len(block))]
-    pieces = df.withColumns({n: F.expr(e) for n, e in zip(names, block)})
-    last = (pieces.groupBy(*group, *names).agg(F.max_by(value, F.struct(*order)).alias("_last"))
-            .select(*group, *names, F.lag("_last").over(
-                Window.partitionBy(*group).orderBy(*names)).alias(value)))
-    rows = pieces.withColumn("_start", F.lit(0)).unionByName(
-        last.withColumn("_start", F.lit(1)), allowMissingColumns=True)
-    along = Window.partitionBy(*group, *names).orderBy(F.desc("_start"), *order)
-    return (rows.withColumn(out, F.lag(value).over(along))
-            .filter(F.col("_start") == 0).drop("_start", *names))
-
-
 def max_before(df: DataFrame, group: list[str], order: list[str], value: str, out: str,
                block: list[str]) -> DataFrame:
     """The largest ``value`` among a group's earlier rows along ``order``, in bounded blocks."""

@@ -20,6 +20,14 @@ def _first_rows(df: DataFrame, n: int, ts: str, seq: str) -> tuple[Column, int,
     return inside, last_ts, last_seq
 
 
+def _count(df: DataFrame, ts: str) -> int:
+    """The rows; one without a time belongs to no period."""
+    n, timed = df.agg(F.count(F.lit(1)), F.count(ts)).first()
+    if timed < n:
+        raise ValueError(f"{n - timed} rows have no time")
+    return n
+
+
 def _check(part: DataFrame, name: str, both: bool, label: str) -> None:
     counts = part.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first()
     if not counts[0] or (both and not counts[1]):
@@ -41,7 +49,7 @@ def chronological_split(df: DataFrame, calibration: float = 0.4, ts: str = "ts_u
     """
     if not 0.1 <= calibration <= 0.9:
         raise ValueError("the calibration fraction must be between 0.1 and 0.9")
-    n = df.count()
+    n = _count(df, ts)
     if n < 8:
         raise ValueError("at least 8 labelled rows are needed")
     inside, _, _ = _first_rows(df, split_points(n, [calibration])[0], ts, seq)
@@ -59,7 +67,7 @@ def model_split(df: DataFrame, train: float = 0.5, calibration: float = 0.2, ts:
         raise ValueError("the training fraction must be between 0.2 and 0.7")
     if not 0.1 <= calibration <= 0.4 or train + calibration > 0.9:
         raise ValueError("the calibration fraction must be 0.1 to 0.4, both together at most 0.9")
-    n = df.count()
+    n = _count(df, ts)
     if n < 20:
         raise ValueError("at least 20 labelled rows are needed")
     ends = split_points(n, [train, calibration])

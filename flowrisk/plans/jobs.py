@@ -14,13 +14,17 @@ from flowrisk.operators import feedback as B
 from flowrisk.operators import training as T
 from flowrisk.operators.flows import capture_flows
 from flowrisk.operators.reports import benchmark_report
+from flowrisk.operators.response import block_plan
 from flowrisk.schema import ALERT, PENDING, REVIEWED
 from flowrisk.session import stage
+from flowrisk.sources.allowlist import parse_allowlist, read_allowlist
 from flowrisk.sources.captures import decode_packets, read_captures
 from flowrisk.sources.datasets import read_dataset
 from flowrisk.sources.flow_csv import read_flow_csv, write_flow_csv
-from flowrisk.sources.jsonl import (append_jsonl, check_output, parse_tolerant, read_strict,
+from flowrisk.sources.jsonl import (append_jsonl, check_output, path_exists, read_strict,
                                     read_tolerant, write_jsonl)
+from flowrisk.sources.order import FILE_ORDER
+from flowrisk.streaming.monitor import monitor, open_snapshots
 
 
 def _mode(overwrite: bool) -> str:
@@ -120,8 +124,8 @@ def review_feedback(spark: SparkSession, alerts: str, pending: str, reviewed: st
     if len({alerts, pending, reviewed}) != 3:
         raise ValueError("alerts, queue and ledger must be three different paths")
     found = read_strict(spark, alerts, ALERT).withColumn("alert_id", B.alert_id())
-    queue = read_strict(spark, pending, PENDING).withColumn("_n", F.monotonically_increasing_id())
-    queue = B.open_reviews(queue, "_n")
+    queue = read_strict(spark, pending, PENDING, keep=FILE_ORDER)
+    queue = B.open_reviews(queue, F.struct(*FILE_ORDER))
     ledger = read_strict(spark, reviewed, REVIEWED, may_not_exist=True)
     selected = queue if alert_ids is None else alert_ids
     if alert_ids is not None:
@@ -150,10 +154,14 @@ def retrain_feedback(spark: SparkSession, base: str, reviewed: str, output: str,
 
 def record_false_positives(spark: SparkSession, requests: DataFrame, alerts: str,
                            pending: str) -> int:
-    """Queue requests (alert_id, note, created_at) that target a current alert and are new."""
+    """Queue requests (alert_id, note, created_at) that are new. An invalid one, or one for no current
+    alert, fails the job before anything is written."""
     found = read_tolerant(spark, alerts, ALERT).filter("not is_bad").withColumn(
         "alert_id", B.alert_id())
     queue = read_strict(spark, pending, PENDING, may_not_exist=True)
+    bad = B.rejected_feedback(requests, found).select("alert_id", "error").first()
+    if bad:
+        raise ValueError(f"{bad.error}: {bad.alert_id}")
     rows = stage(B.new_feedback(requests, found, queue), "requests")
     count = rows.count()
     if count:
@@ -163,13 +171,37 @@ def record_false_positives(spark: SparkSession, requests: DataFrame, alerts: str
 
 def alert_view(spark: SparkSession, alerts: str, pending: str | None = None, severity: str = "",
                query: str = "", limit: int = 500) -> tuple[DataFrame, int]:
-    """(newest matching alerts with their feedback flag, skipped lines)."""
-    lines = spark.read.text(alerts).withColumn("line_no", F.monotonically_increasing_id())
-    rows = parse_tolerant(lines, ALERT, keep=["line_no"])
-    skipped = rows.filter("is_bad").count()
-    good = rows.filter("not is_bad").drop("is_bad")
-    shown = B.last_alerts(B.search_alerts(good, severity, query), limit, ["line_no"])
+    """(newest matching alerts with their feedback flag, skipped lines).
+
+    ``alerts`` are JSON lines, newest file last, or the monitor's table, newest batch last.
+    """
+    if path_exists(spark, f"{alerts.rstrip('/')}/epoch=0"):
+        good, order, skipped = spark.read.parquet(alerts), ["epoch", "ts_us", "alert_id"], 0
+    else:
+        order = FILE_ORDER
+        rows = read_tolerant(spark, alerts, ALERT, keep=FILE_ORDER)
+        skipped = rows.filter("is_bad").count()
+        good = rows.filter("not is_bad").drop("is_bad")
+    shown = B.last_alerts(B.search_alerts(good, severity, query), limit, order)
     shown = shown.withColumn("alert_id", B.alert_id())
     if pending is None:
         return shown.withColumn("has_feedback", F.lit(False)), skipped
     return B.flag_feedback(shown, read_tolerant(spark, pending, PENDING)), skipped
+
+
+def plan_blocks(spark: SparkSession, alerts: str, output: str, duration: int, created_at: str,
+                allowlist: str | None = None, address: str = "src_ip", overwrite: bool = False) -> int:
+    """Alerts and an allowlist file to the table of proposed blocks; returns their number."""
+    check_output(alerts, output)
+    networks = read_allowlist(spark, allowlist) if allowlist else parse_allowlist()
+    targets = read_strict(spark, alerts, ALERT).select(address)
+    plan = block_plan(targets, networks, duration, F.to_timestamp(F.lit(created_at)), address)
+    seen = Observation()
+    write_jsonl(plan.observe(seen, F.count(F.lit(1)).alias("rows")), output, overwrite)
+    return seen.get["rows"]
+
+
+def monitor_snapshots(spark: SparkSession, source: str, folder: str, model: LinearModel = BASELINE,
+                      threshold: float = 0.60, interval: str | None = None):
+    """Collected polls (JSON files under ``host=.../snapshot_no=.../ts_us=...``) to ``folder/alerts``."""
+    return monitor(open_snapshots(spark, source), folder, model, threshold, interval=interval)

@@ -34,7 +34,8 @@ _SHAKEN = """shaken AS (SELECT * REPLACE (CASE WHEN seq % 7 = 0 THEN ts_us - 300
 
 
 @query("time_reversal", with_(FLOWS, _SHAKEN) + """SELECT seq, previous_ts, ts_us < previous_ts AS reversed
-  FROM (SELECT seq, ts_us, lag(ts_us) OVER (PARTITION BY src_ip ORDER BY seq) AS previous_ts
+  FROM (SELECT seq, ts_us, max(ts_us) OVER (PARTITION BY src_ip ORDER BY seq
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_ts
         FROM shaken) WHERE ts_us < previous_ts""")
 def time_reversal(spark, d):
     """Every seventh flow is dated 30 seconds back."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowrisk.constants import FLOW_COLUMNS
+from flowrisk.constants import FLOW_COLUMNS, UNSW_RAW_COLUMNS
 from flowrisk.functions import normalize as N
 from flowrisk.functions.normalize import us_text
 from flowrisk.plans import fixtures as X
@@ -14,28 +14,38 @@ from flowrisk.plans.q_flows import polled
 from flowrisk.plans.q_scoring import alerts
 from flowrisk.plans.registry import query
 from flowrisk.schema import ALERT, PENDING
+from flowrisk.session import shared_path
 from flowrisk.sources import connections as C
 from flowrisk.sources import datasets as D
-from flowrisk.sources.flow_csv import parse_flow_rows
-from flowrisk.sources.jsonl import feedback_ids, parse_tolerant
+from flowrisk.sources.flow_csv import read_flow_csv
+from flowrisk.sources.jsonl import feedback_ids, parse_tolerant, read_tolerant
+from flowrisk.sources.order import FILE_ORDER
 
 _FLOW_NUMBERS = ("src_port, dst_port, duration_ms, packets, bytes_sent, bytes_received, syn_count, "
                  "rst_count")
 
 
-@query("flows_scan", with_(FLOWS, CTX) + f"""SELECT seq, {iso('ts_us')} || 'Z' AS timestamp, src_ip,
+@query("flows_scan", with_(FLOWS, CTX) + f"""SELECT {iso('ts_us')} || 'Z' AS timestamp, src_ip,
     dst_ip, {_FLOW_NUMBERS}, protocol, unique_dst_ports_60s, connections_60s,
     failed_connections_60s, CASE WHEN seq % 4 = 0 THEN NULL ELSE label END AS label FROM ctx""")
 def flows_scan(spark, d):
-    """CSV lines in another column order, lower-case protocols and some empty labels."""
+    """CSV files with different column orders, lower-case protocols and some empty labels."""
     rows = X.context_flows(spark, d).withColumns({
         "timestamp": us_text("ts_us"), "protocol": F.lower("protocol"),
         "label": F.when(F.col("seq") % 4 == 0, "").otherwise(F.col("label"))})
     columns = sorted(FLOW_COLUMNS)
-    line = F.to_csv(F.struct(*columns), {"emptyValue": ""})
-    schema = ", ".join(f"{c} STRING" for c in columns)
-    raw = rows.select("seq", F.from_csv(line, schema).alias("r")).select("seq", "r.*")
-    return parse_flow_rows(raw, ["seq"])
+    folder = csv_files(rows, columns, columns[::-1])
+    return read_flow_csv(spark, f"{folder}/*").select(*FLOW_COLUMNS)
+
+
+def csv_files(rows, *layouts, seq: str = "seq", headers: bool = True) -> str:
+    """The rows, dealt by ``seq`` to folders of CSV files, each folder with its own columns."""
+    folder = shared_path(rows.sparkSession, "csv")
+    for i, names in enumerate(layouts):
+        (rows.filter(F.col(seq) % len(layouts) == i).select(*[F.col(f"`{c}`") for c in names])
+         .write.options(emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+         .csv(f"{folder}/{i}", header=headers))
+    return folder
 
 
 def cicids_raw(spark, d):
@@ -62,19 +72,25 @@ _SECONDS = "sec AS (SELECT * REPLACE (ts_us // 1000000 * 1000000 AS ts_us) FROM
 _FORMAT = "%m/%d/%Y %H:%M:%S"
 
 
-@query("cicids_normalize", with_(FLOWS, _SECONDS) + f"""SELECT seq, ts_us, {iso('ts_us')} AS timestamp,
+@query("cicids_normalize", with_(FLOWS, _SECONDS) + f"""SELECT ts_us, {iso('ts_us')} AS timestamp,
     src_ip, dst_ip, protocol, {_FLOW_NUMBERS}, label, rst_count > 0 AS failed FROM sec""")
 def cicids_normalize(spark, d):
-    return D.strict_rows(D.normalize_cicids(cicids_raw(spark, d), _FORMAT, ["seq"]))
+    """Files whose columns come in different orders and spellings."""
+    rows = cicids_raw(spark, d)
+    names = [c for c in rows.columns if c != "seq"]
+    rows = rows.withColumns({c.strip().upper(): F.col(f"`{c}`") for c in names})
+    raw = D.read_cicids(spark, csv_files(rows, names, [c.strip().upper() for c in names[::-1]]) + "/*")
+    return D.strict_rows(D.normalize_cicids(raw, _FORMAT, FILE_ORDER)).drop(*FILE_ORDER)
 
 
-@query("unsw_normalize", with_(FLOWS, _SECONDS) + f"""SELECT seq, ts_us, {iso('ts_us')} || 'Z' AS timestamp,
+@query("unsw_normalize", with_(FLOWS, _SECONDS) + f"""SELECT ts_us, {iso('ts_us')} || 'Z' AS timestamp,
     src_ip, dst_ip, protocol, CASE WHEN seq % 5 = 0 THEN 0 ELSE src_port END AS src_port, dst_port,
     duration_ms, packets + 3 AS packets, bytes_sent, bytes_received, CAST(0 AS BIGINT) AS syn_count,
     CASE WHEN seq % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS rst_count,
     label, seq % 3 < 2 AS failed FROM sec""")
 def unsw_normalize(spark, d):
-    """Epoch seconds, hexadecimal and missing ports, durations in seconds, labels by category."""
+    """Epoch seconds, hexadecimal and missing ports, durations in seconds, labels by category; files with
+    a header and, in the official layout, without one."""
     def text(column):
         return F.col(column).cast("string")
     state = F.when(F.col("seq") % 3 == 0, "rst").when(F.col("seq") % 3 == 1, "REQ").otherwise("FIN")
@@ -91,7 +107,13 @@ def unsw_normalize(spark, d):
         F.expr("cast(ts_us div 1000000 as string)").alias("Stime"),
         F.when(benign, "Normal").otherwise("Fuzzers").alias("attack_cat"),
         F.when(F.col("seq") % 2 == 0, "").when(benign, "0").otherwise("1").alias("Label"))
-    return D.strict_rows(D.normalize_unsw(raw, ["seq"]))
+    have = {N.header_key(c): c for c in raw.columns}
+    official = raw.select("seq", *[(F.col(have[N.header_key(c)]) if N.header_key(c) in have else F.lit("0"))
+                                   .alias(c) for c in UNSW_RAW_COLUMNS])
+    folder = csv_files(raw.filter("seq % 2 = 0"), [c for c in raw.columns if c != "seq"])
+    plain = csv_files(official.filter("seq % 2 = 1"), UNSW_RAW_COLUMNS, headers=False)
+    rows = D.read_unsw(spark, [f"{folder}/*", f"{plain}/*"])
+    return D.strict_rows(D.normalize_unsw(rows, FILE_ORDER)).drop(*FILE_ORDER)
 
 
 @query("convert_dataset", with_(FLOWS, _SECONDS, context("sec", "src_ip", "seq", "rst_count > 0")) + f"""
@@ -281,23 +303,31 @@ def label_to_int(spark, d):
 _CONN = "local_address, local_port, remote_address, remote_port, state, owning_process, process_name"
 
 
-@query("snapshot_scan", with_(SNAPSHOTS) + """SELECT host, snapshot_no, local_address,
+@query("snapshot_scan", with_(SNAPSHOTS) + """SELECT host, snapshot_no % 8 AS part, local_address,
     CAST(local_port AS BIGINT) AS local_port, remote_address, CAST(remote_port AS BIGINT) AS remote_port,
     CASE WHEN pid % 4 = 0 THEN 'Unknown' ELSE state END AS state,
     CAST(CASE WHEN pid % 4 = 0 THEN 0 ELSE pid END AS BIGINT) AS owning_process,
     CASE WHEN pid % 2 = 0 THEN 'unknown' ELSE 'p' || CAST(pid AS VARCHAR) END AS process_name
   FROM snapshots""")
 def snapshot_scan(spark, d):
-    """JSON arrays with a listening socket next to the connection; some keys are missing or empty."""
+    """Files with a JSON array each: connections, with some keys missing or empty and some ports as text,
+    a listening socket, and elements that are no objects."""
     known = F.col("pid") % 4 != 0
     connection = F.struct(
-        "local_address", "local_port", "remote_address", "remote_port",
+        "local_address", "local_port", "remote_address",
+        F.when(known, F.col("remote_port").cast("string")).alias("remote_port"),
         F.when(known, F.col("state")).alias("state"), F.when(known, F.col("pid")).alias("owning_process"),
         F.when(F.col("pid") % 2 == 0, "").otherwise(
             F.concat(F.lit("p"), F.col("pid").cast("string"))).alias("process_name"))
-    text = F.concat(F.lit("﻿["), F.to_json(connection), F.lit(',{"remote_port":0,"local_port":135}]'))
-    rows = X.snapshots(spark, d).select("host", "snapshot_no", text.alias("t"))
-    return C.parse_connection_json(rows, "t", ["host", "snapshot_no"])
+    text = F.when(known, F.to_json(connection)).otherwise(
+        F.to_json(connection.withField("remote_port", F.col("remote_port"))))
+    rows = X.snapshots(spark, d).select("host", (F.col("snapshot_no") % 8).alias("part"), text.alias("t"))
+    files = rows.groupBy("host", "part").agg(F.concat(
+        F.lit('\ufeff[{"remote_port":0,"local_port":135},7,"x",'), F.array_join(F.collect_list("t"), ","),
+        F.lit("]")).alias("value"))
+    folder = shared_path(spark, "snapshots")
+    files.repartition("host", "part").write.partitionBy("host", "part").option("lineSep", " ").text(folder)
+    return C.read_connections(spark, folder).drop("file").withColumn("part", F.col("part").cast("bigint"))
 
 
 @query("netstat_parse", with_(SNAPSHOTS) + """SELECT host, snapshot_no,
@@ -307,7 +337,7 @@ def snapshot_scan(spark, d):
     CAST(pid AS BIGINT) AS owning_process
   FROM snapshots WHERE pid % 9 <> 8""")
 def netstat_parse(spark, d):
-    """netstat lines; listening, UDP and short lines drop out, an unknown state stays."""
+    """Files of netstat lines; listening, UDP and short lines drop out, an unknown state stays."""
     local = F.when(F.col("pid") % 3 == 0, "[fe80::1]").otherwise(F.col("local_address"))
     state = F.when(F.col("state") == "SynSent", "SYN_SENT").when(
         F.col("state") == "Closed", "CLOSED").otherwise("BOUND")
@@ -318,38 +348,46 @@ def netstat_parse(spark, d):
                     F.col("pid").cast("string"))
     lines = X.snapshots(spark, d).select("host", "snapshot_no", F.explode(F.array(
         line, F.lit("  UDP    0.0.0.0:53   *:*    77"), F.lit("Active Connections"))).alias("value"))
-    return C.parse_netstat(lines, keep=["host", "snapshot_no"])
+    folder = shared_path(spark, "netstat")
+    (lines.select("host", F.concat_ws("|", "value", F.col("snapshot_no").cast("string")).alias("value"))
+     .write.partitionBy("host").text(f"{folder}/numbered"))
+    numbered = spark.read.text(f"{folder}/numbered")
+    cut = F.split("value", r"\|")
+    return C.parse_netstat(numbered.select("host", cut[1].cast("bigint").alias("snapshot_no"),
+                                           cut[0].alias("value")), keep=["host", "snapshot_no"])
 
 
 @query("process_dim", """SELECT user_id AS pid, 'image' || CAST(max(event_id) AS VARCHAR) AS process_name
   FROM events WHERE event_id % 3 <> 0 GROUP BY user_id""")
 def process_dim(spark, d):
-    """Process list lines; the last name of a pid wins, lines without a number drop out."""
-    from flowrisk.operators.feedback import last_per_key
-    line = F.concat(F.lit('"image'), F.col("event_id").cast("string"), F.lit('","'),
-                    F.when(F.col("event_id") % 3 == 0, "n/a").otherwise(F.col("user_id").cast("string")),
-                    F.lit('"'))
-    raw = X.table(spark, d, "events").select("event_id", F.from_csv(
-        line, "_c0 string, _c1 string").alias("r")).select("event_id", "r.*")
-    rows = C.parse_processes(raw, keep=["event_id"])
-    return last_per_key(rows, ["pid"], "event_id").select("pid", "process_name")
-
-
-@query("alerts_scan", with_(*ALERTS) + """SELECT seq, seq % 10 < 3 AS is_bad,
+    """Process lists written one after the other; the last name of a pid wins, lines without a number
+    drop out."""
+    events = X.table(spark, d, "events").select(
+        "event_id", "user_id", F.concat(F.lit("image"), F.col("event_id").cast("string")).alias("name"),
+        F.when(F.col("event_id") % 3 == 0, "n/a").otherwise(F.col("user_id").cast("string")).alias("pid"))
+    folder, half = shared_path(spark, "processes"), events.agg(F.max("event_id")).first()[0] // 2
+    for part in (F.col("event_id") <= half, F.col("event_id") > half):
+        (events.filter(part).repartition("user_id").sortWithinPartitions("event_id").select("name", "pid")
+         .write.mode("append").csv(folder))
+    return C.read_processes(spark, folder)
+
+
+@query("alerts_scan", with_(*ALERTS) + """SELECT seq % 10 < 3 AS is_bad,
     CASE WHEN seq % 10 < 3 THEN NULL ELSE severity END AS severity,
     CASE WHEN seq % 10 < 3 THEN NULL ELSE risk_score END AS risk_score,
     CASE WHEN seq % 10 < 3 THEN NULL ELSE array_to_string(rule_list, ',') END AS rule_ids
   FROM alerts WHERE seq % 10 <> 9""")
 def alerts_scan(spark, d):
-    """Alert lines with broken, non-object and blank ones among them."""
+    """Files of alert lines with broken, non-object and blank ones among them."""
     rows = alerts(spark, d)
     k = F.col("seq") % 10
     text = F.to_json(F.struct(*[c for c in rows.columns if c in ALERT.names]))
     line = (F.when(k == 0, "{partial").when(k == 1, "[1]").when(k == 2, '"x"').when(k == 9, "  ")
             .otherwise(text))
-    parsed = parse_tolerant(rows.select("seq", line.alias("value")), ALERT, keep=["seq"])
-    return parsed.select("seq", "is_bad", "severity", "risk_score",
-                         F.array_join("rule_ids", ",").alias("rule_ids"))
+    folder = shared_path(spark, "alert-lines")
+    rows.select(line.alias("value")).write.text(folder)
+    return read_tolerant(spark, folder, ALERT).select(
+        "is_bad", "severity", "risk_score", F.array_join("rule_ids", ",").alias("rule_ids"))
 
 
 @query("feedback_ids", with_(*ALERTS) + "SELECT DISTINCT alert_id FROM alerts WHERE seq % 7 = 0 AND seq % 3 <> 0")

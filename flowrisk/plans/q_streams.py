@@ -64,8 +64,8 @@ _MONITORED = [*_OBSERVED, f"""shaped AS (SELECT *, 0.0::DOUBLE AS duration_ms, 1
 def process_context(spark, d):
     """Every new connection, scored in its process context."""
     return _monitored(spark, d, False).select(
-        "host", "pid", "ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "state", "direction",
-        "risk_score")
+        "host", F.col("process_id").alias("pid"), "ts_us", "src_ip", "dst_ip", "src_port", "dst_port",
+        F.col("connection_state").alias("state"), "direction", "risk_score")
 
 
 @query("stream_monitor", with_(*_MONITORED) + """SELECT host, pid, direction, severity,
@@ -74,5 +74,5 @@ def process_context(spark, d):
 def stream_monitor(spark, d):
     """The alerts of the monitor, counted by process."""
     return _monitored(spark, d, True).groupBy(
-        "host", "pid", "direction", "severity",
+        "host", F.col("process_id").alias("pid"), "direction", "severity",
         F.array_join("rule_ids", ",").alias("rule_ids")).agg(F.count(F.lit(1)).alias("alerts"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowrisk.constants import NETSTAT_STATES
 from flowrisk.functions.normalize import strip
 from flowrisk.schema import CONNECTION
+from flowrisk.sources.order import FILE_ORDER, with_file_order
 
 
 def clean_connections(raw: DataFrame) -> DataFrame:
@@ -27,16 +28,26 @@ def clean_connections(raw: DataFrame) -> DataFrame:
 
 def read_connections(spark: SparkSession, path: str) -> DataFrame:
     """A folder of JSON files, each one an object or an array of objects."""
-    raw = (spark.read.schema(CONNECTION).option("multiLine", True).option("mode", "DROPMALFORMED")
-           .json(path).select("*", F.col("_metadata.file_path").alias("file")))
-    return clean_connections(raw)
+    texts = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
+    return parse_connection_json(texts, "value", [c for c in texts.columns if c != "value"])
 
 
 def parse_connection_json(texts: DataFrame, column: str, keep: list[str] = ()) -> DataFrame:
-    """The same from a text column that holds an array."""
-    schema = f"array<struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in CONNECTION)}>>"
-    rows = texts.select(*keep, F.inline(F.from_json(F.regexp_replace(column, "^﻿", ""), schema)))
-    return clean_connections(rows)
+    """The same from a text column. Broken JSON and ports that are no numbers fail the job; elements
+    that are no objects are skipped, and numbers may be written as text."""
+    text = strip(F.regexp_replace(column, "^\ufeff", ""))
+    listed = F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
+    fields = ", ".join(f"`{f.name}` string" for f in CONNECTION)
+    elements = texts.filter(text != "").select(*keep, F.explode(F.from_json(
+        listed, "array<string>", {"mode": "FAILFAST"})).alias("_element"))
+    objects = elements.filter(strip("_element").startswith("{")).select(
+        *keep, F.from_json("_element", fields, {"mode": "FAILFAST"}).alias("_row"))
+
+    def typed(field):
+        value = F.nullif(F.col(f"_row.{field.name}"), F.lit(""))
+        return value.cast(field.dataType).alias(field.name)
+
+    return clean_connections(objects.select(*keep, *map(typed, CONNECTION)))
 
 
 def endpoint(text: Column) -> tuple[Column, Column]:
@@ -60,19 +71,41 @@ def parse_netstat(lines: DataFrame, column: str = "value", keep: list[str] = ())
     return rows.filter("local_port is not null and remote_port > 0 and owning_process is not null")
 
 
-def parse_processes(raw: DataFrame, name: str = "_c0", pid: str = "_c1",
-                    keep: list[str] = ()) -> DataFrame:
-    """pid -> process name; rows without a numeric pid are skipped, the last one of a pid wins."""
-    return raw.select(*keep, F.col(pid).try_cast("bigint").alias("pid"),
-                      F.col(name).alias("process_name")).filter(F.col("pid").isNotNull())
+def parse_processes(raw: DataFrame, order: list[str], name: str = "_c0", pid: str = "_c1",
+                    per: list[str] = ()) -> DataFrame:
+    """pid -> process name; rows without a numeric pid are skipped, the last one along ``order`` wins.
+
+    ``per`` are columns, such as the host, within which a pid is a pid.
+    """
+    rows = raw.select(*per, *order, F.col(pid).try_cast("bigint").alias("pid"), F.col(name).alias("process_name"))
+    return (rows.filter(F.col("pid").isNotNull()).groupBy(*per, "pid")
+            .agg(F.max_by("process_name", F.struct(*order)).alias("process_name")))
 
 
 def read_processes(spark: SparkSession, path: str) -> DataFrame:
-    return parse_processes(spark.read.csv(path, header=False))
+    """Files are taken in the order in which they were written."""
+    rows = spark.read.schema("_c0 string, _c1 string").csv(path, header=False)
+    return parse_processes(with_file_order(rows), FILE_ORDER)
+
+
+def as_snapshots(connections: DataFrame) -> DataFrame:
+    """What the tracker needs from collected connections with ``host``, ``snapshot_no`` and ``ts_us``."""
+    rows = connections.withColumnRenamed("owning_process", "pid")
+    names = ["local_address", "local_port", "remote_address", "remote_port", "state", "pid"]
+    named = F.col("process_name") if "process_name" in rows.columns else F.lit("unknown")
+    return rows.select("host", F.col("snapshot_no").cast("bigint").alias("snapshot_no"),
+                       F.col("ts_us").cast("bigint").alias("ts_us"), *names, named.alias("process_name"))
+
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """Collected polls as JSON files in folders ``host=.../snapshot_no=.../ts_us=...``."""
+    return as_snapshots(read_connections(spark, path))
 
 
 def read_netstat(spark: SparkSession, path: str) -> DataFrame:
-    return parse_netstat(spark.read.text(path))
+    """Columns that the folders name, such as the host, are kept."""
+    lines = spark.read.text(path)
+    return parse_netstat(lines, keep=[c for c in lines.columns if c != "value"])
 
 
 def name_processes(connections: DataFrame, processes: DataFrame, pid: str = "owning_process",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import csv
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from flowrisk.functions import normalize as N
 from flowrisk.functions.barrier import computed_once
 from flowrisk.operators.context import time_reversals, with_context
 from flowrisk.session import stage
+from flowrisk.sources.headers import header_groups, read_group
 from flowrisk.sources.order import FILE_ORDER, head_rows, with_file_order
 
 
@@ -126,76 +127,102 @@ def reject_rows(normalized: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def strict_rows(normalized: DataFrame) -> DataFrame:
     """The first bad row fails the job."""
-    place = [F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in FILE_ORDER[:2]
+    place = [F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in FILE_ORDER[1:3]
              if c in normalized.columns]
     message = F.concat_ws(" ", F.lit("bad row:"), F.col("error"), *place)
     return normalized.filter(F.when(F.col("error").isNull(), F.lit(True)).otherwise(
         F.raise_error(message).cast("boolean"))).drop("error")
 
 
-def contextualize(valid: DataFrame, order: list[str], block: list[str] | None = None,
-                  strict: bool = True) -> DataFrame:
-    """60-second context in arrival order. A source whose time runs backwards fails the job, or
-    with ``strict=False`` loses the reversed rows to the caller's reject table.
+def in_time_order(valid: DataFrame, order: list[str],
+                  block: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows in order, and those older than a row before them in their source, with the reason.
 
     The text is parsed once into a columnar table; the passes that follow read the columns they need.
     """
+    checked = time_reversals(stage(valid, "normalized"), ["src_ip"], seq=order, block=block)
+    reason = F.concat(F.lit("time runs backwards in source "), F.col("src_ip"))
+    helpers = ["reversed", "previous_ts"]
+    return (checked.filter(~F.col("reversed")).drop(*helpers),
+            checked.filter("reversed").drop(*helpers).withColumn("error", reason))
+
+
+def contextualize(valid: DataFrame, order: list[str], block: list[str] | None = None) -> DataFrame:
+    """60-second context in arrival order. A source whose time runs backwards fails the job."""
     rows = stage(valid, "normalized")
     checked = time_reversals(rows, ["src_ip"], seq=order, block=block)
-    if strict:
-        checked = checked.filter(F.when(~F.col("reversed"), F.lit(True)).otherwise(F.raise_error(
-            F.concat(F.lit("time runs backwards in source "), F.col("src_ip"))).cast("boolean")))
-    else:
-        checked = checked.filter(~F.col("reversed"))
-    if strict:
-        checked.agg(F.count_if("reversed")).first()
-        checked = rows
-    return with_context(checked.drop("reversed", "previous_ts"), ["src_ip"], seq=order,
-                        failed=F.col("failed"))
+    bad = checked.filter("reversed").select("src_ip").first()
+    if bad:
+        raise ValueError(f"time runs backwards in source {bad[0]}")
+    return with_context(rows, ["src_ip"], seq=order, failed=F.col("failed"))
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    first = spark.read.text(path).first()
-    if first is None:
-        raise ValueError("dataset CSV has no header")
-    return next(csv.reader([first[0].lstrip("﻿")]))
+def _by_key(raw: DataFrame) -> DataFrame:
+    """Columns under their normalised names, so that files with different headers go together."""
+    names = N.header_map([c for c in raw.columns if c not in FILE_ORDER])
+    return raw.select(*[F.col(f"`{c}`").alias(k) for k, c in names.items()], *FILE_ORDER)
 
 
-def read_cicids(spark: SparkSession, path: str) -> DataFrame:
-    N.header_map(_header(spark, path))
-    return with_file_order(spark.read.csv(path, header=True, inferSchema=False))
+def _joined(groups: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), groups)
 
 
-def read_unsw(spark: SparkSession, path: str) -> DataFrame:
-    """With a header, or without one in the official layout of 49 columns."""
-    probe = _header(spark, path)
-    if {"srcip", "dstip", "stime"} <= {N.header_key(v) for v in probe}:
-        N.header_map(probe)
-        return with_file_order(spark.read.csv(path, header=True, inferSchema=False))
-    if len(probe) != len(UNSW_RAW_COLUMNS):
-        raise ValueError(f"a file without header must have {len(UNSW_RAW_COLUMNS)} columns, "
-                         f"this one has {len(probe)}")
-    schema = ", ".join(f"`{c}` STRING" for c in UNSW_RAW_COLUMNS)
-    return with_file_order(spark.read.schema(schema).csv(path))
+def read_cicids(spark: SparkSession, path: str) -> DataFrame:
+    """Files may differ in the order and the spelling of their columns."""
+    groups = []
+    for header, files in sorted(header_groups(spark, path).items()):
+        N.header_map(list(header))
+        groups.append(_by_key(with_file_order(read_group(spark, files))))
+    return _joined(groups)
 
 
-def read_dataset(spark: SparkSession, dataset: str, path: str, timestamp_format: str | None = None,
-                 max_rows: int | None = None, strict: bool = True) -> DataFrame:
-    """Flows with context from one public dataset."""
+def read_unsw(spark: SparkSession, path: str) -> DataFrame:
+    """With headers, or without one in the official layout of 49 columns."""
+    groups, plain = [], []
+    for header, files in sorted(header_groups(spark, path).items()):
+        if {"srcip", "dstip", "stime"} <= {N.header_key(v) for v in header}:
+            N.header_map(list(header))
+            groups.append(_by_key(with_file_order(read_group(spark, files))))
+        elif len(header) == len(UNSW_RAW_COLUMNS):
+            plain += files
+        else:
+            raise ValueError(f"a file without header must have {len(UNSW_RAW_COLUMNS)} columns, "
+                             f"this one has {len(header)}")
+    if plain:
+        schema = ", ".join(f"`{c}` STRING" for c in UNSW_RAW_COLUMNS)
+        groups.append(_by_key(with_file_order(spark.read.schema(schema).csv(sorted(plain)))))
+    return _joined(groups)
+
+
+def _normalized(spark: SparkSession, dataset: str, path: str, timestamp_format: str | None,
+                max_rows: int | None) -> DataFrame:
     if max_rows is not None and max_rows <= 0:
         raise ValueError("max_rows must be positive")
-    if dataset == "cicids2017":
-        raw = read_cicids(spark, path)
-    elif dataset == "unsw-nb15":
-        if timestamp_format:
-            raise ValueError("timestamp_format is for cicids2017 only")
-        raw = read_unsw(spark, path)
-    else:
+    if dataset not in ("cicids2017", "unsw-nb15"):
         raise ValueError(f"unknown dataset {dataset}")
+    if dataset == "unsw-nb15" and timestamp_format:
+        raise ValueError("timestamp_format is for cicids2017 only")
+    raw = read_cicids(spark, path) if dataset == "cicids2017" else read_unsw(spark, path)
     if max_rows is not None:
         raw = head_rows(raw, max_rows)
-    rows = (normalize_cicids(raw, timestamp_format, FILE_ORDER) if dataset == "cicids2017"
+    return (normalize_cicids(raw, timestamp_format, FILE_ORDER) if dataset == "cicids2017"
             else normalize_unsw(raw, FILE_ORDER))
-    valid = strict_rows(rows) if strict else reject_rows(rows)[0]
-    return contextualize(valid, FILE_ORDER, FILE_ORDER[:2], strict).select(
-        *FLOW_COLUMNS, *FILE_ORDER)
+
+
+def read_dataset(spark: SparkSession, dataset: str, path: str, timestamp_format: str | None = None,
+                 max_rows: int | None = None) -> DataFrame:
+    """Flows with context from one public dataset; the first bad row fails the job."""
+    rows = strict_rows(_normalized(spark, dataset, path, timestamp_format, max_rows))
+    return contextualize(rows, FILE_ORDER, FILE_ORDER[:3]).select(*FLOW_COLUMNS, *FILE_ORDER)
+
+
+def read_dataset_with_rejects(spark: SparkSession, dataset: str, path: str,
+                              timestamp_format: str | None = None,
+                              max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(flows with context, rejected rows with ``error`` and their place in the files)."""
+    rows = stage(_normalized(spark, dataset, path, timestamp_format, max_rows), "normalized")
+    valid, bad = reject_rows(rows)
+    good, late = in_time_order(valid, FILE_ORDER, FILE_ORDER[:3])
+    flows = with_context(good, ["src_ip"], seq=FILE_ORDER, failed=F.col("failed"))
+    return (flows.select(*FLOW_COLUMNS, *FILE_ORDER),
+            bad.unionByName(late).select(*FILE_ORDER, "src_ip", "timestamp", "error"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from flowrisk.constants import FLOW_COLUMNS
 from flowrisk.functions.normalize import timestamp
+from flowrisk.sources.headers import header_groups, read_group
 
 _CASTS = {
     "src_port": "int", "dst_port": "int", "duration_ms": "double", "packets": "bigint",
@@ -23,24 +26,37 @@ def check_columns(names: list[str]) -> None:
 
 
 def parse_flow_rows(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """Typed flows from text columns. A value that is no number fails the job (ANSI casts)."""
+    """Typed flows from text columns. A value that is missing or no number fails the job (ANSI casts)."""
     check_columns(raw.columns)
+
+    def typed_column(name: str):
+        text = F.col(name)
+        value = text.cast(_CASTS[name]) if name in _CASTS else F.upper(text) if name == "protocol" else text
+        empty = F.raise_error(F.lit(f"flow CSV: a row lacks {name}")).cast(_CASTS.get(name, "string"))
+        return F.when(text.isNull(), empty).otherwise(value).alias(name)
+
     label = F.col("label") if "label" in raw.columns else F.lit(None).cast("string")
-    typed = [F.col(c).cast(_CASTS[c]).alias(c) if c in _CASTS else
-             F.upper("protocol").alias(c) if c == "protocol" else F.col(c)
-             for c in FLOW_COLUMNS[:-1]]
-    return raw.select(*keep, *typed, F.nullif(label, F.lit("")).alias("label"))
+    return raw.select(*keep, *map(typed_column, FLOW_COLUMNS[:-1]),
+                      F.nullif(label, F.lit("")).alias("label"))
 
 
 def read_flow_csv(spark: SparkSession, path: str) -> DataFrame:
     """Flows with ``seq``, a number that rises along a file, and ``ts_us`` (naive times are UTC).
 
-    The number is not dense: no pass over the data is needed to give it out.
+    Files may list the columns in different orders. An empty field or an unreadable time fails the job. The
+    number is not dense: no pass over the data is needed to give it out.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False)
-    check_columns(raw.columns)
-    flows = parse_flow_rows(raw.withColumn("seq", F.monotonically_increasing_id()), ["seq"])
-    return flows.withColumn("ts_us", F.unix_micros(timestamp("timestamp")))
+    groups = []
+    for header, files in sorted(header_groups(spark, path).items()):
+        check_columns(list(header))
+        raw = read_group(spark, files)
+        groups.append(raw.select(*[F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string").alias(c)
+                                   for c in FLOW_COLUMNS]))
+    raw = reduce(DataFrame.unionByName, groups).withColumn("seq", F.monotonically_increasing_id())
+    flows = parse_flow_rows(raw, ["seq"])
+    ts = F.unix_micros(timestamp("timestamp"))
+    unreadable = F.raise_error(F.concat(F.lit("flow CSV: no time: "), F.col("timestamp"))).cast("bigint")
+    return flows.withColumn("ts_us", F.coalesce(ts, unreadable))
 
 
 def write_flow_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from flowrisk.constants import ALERT_ID_PATTERN
 from flowrisk.functions.barrier import computed_once
+from flowrisk.sources.order import with_file_order
 
 
 def parse_tolerant(lines: DataFrame, schema: T.StructType, column: str = "value",
@@ -24,16 +26,17 @@ def parse_tolerant(lines: DataFrame, schema: T.StructType, column: str = "value"
                              for f in schema], (~is_object).alias("is_bad")))
 
 
-def read_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return parse_tolerant(spark.read.text(path), schema)
+def read_tolerant(spark: SparkSession, path: str, schema: T.StructType, keep: list[str] = ()) -> DataFrame:
+    """``keep``: columns of FILE_ORDER to add."""
+    return parse_tolerant(with_file_order(spark.read.text(path)), schema, keep=keep)
 
 
 def read_strict(spark: SparkSession, path: str, schema: T.StructType,
-                may_not_exist: bool = False) -> DataFrame:
+                may_not_exist: bool = False, keep: list[str] = ()) -> DataFrame:
     """Every line must be a JSON object, otherwise the job fails."""
     if may_not_exist and not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    rows = parse_tolerant(spark.read.text(path), schema)
+    rows = read_tolerant(spark, path, schema, keep)
     return rows.filter(F.when(~F.col("is_bad"), F.lit(True)).otherwise(
         F.raise_error(F.lit(f"bad line in {path}")).cast("boolean"))).drop("is_bad")
 
@@ -55,9 +58,19 @@ def check_output(source: str, target: str) -> None:
 
 
 def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Refuses an existing path unless told otherwise; the commit protocol publishes whole files."""
-    df.write.mode("overwrite" if overwrite else "errorifexists").option(
-        "ignoreNullFields", False).json(path)
+    """Refuses an existing path unless told otherwise. The new table is written beside the old one and
+    takes its place when it is complete, so a failed job leaves the old one."""
+    spark = df.sparkSession
+    if not overwrite or not path_exists(spark, path):
+        df.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
+        return
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.option("ignoreNullFields", False).json(beside)
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, beside))
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    if not files.rename(new, old):
+        raise OSError(f"{beside} is complete but could not be renamed to {path}")
 
 
 def append_jsonl(df: DataFrame, path: str, key: str) -> None:

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FILE_ORDER = ["file", "file_block", "file_pos"]
+FILE_ORDER = ["written", "file", "file_block", "file_pos"]
 
 
 def with_file_order(df: DataFrame) -> DataFrame:
-    """Add the file, the offset of its split and a number that rises within the split.
+    """Add when the file was written, its name, the offset of its split and a number that rises within it.
 
-    Sorting by the three gives the order of the lines without numbering them globally.
+    Sorting by the four gives the order of the lines, appended files last, without numbering them globally.
     """
-    return df.select("*", F.col("_metadata.file_path").alias("file"),
+    return df.select("*", F.unix_micros("_metadata.file_modification_time").alias("written"),
+                     F.col("_metadata.file_path").alias("file"),
                      F.col("_metadata.file_block_start").alias("file_block"),
                      F.monotonically_increasing_id().alias("file_pos"))
 

@@ -9,8 +9,7 @@ from flowrisk.constants import WINDOW_US
 from flowrisk.operators.context import with_context
 from flowrisk.operators.running import max_before
 from flowrisk.operators.snapshots import KEY, new_connections
-from flowrisk.session import stage
-from flowrisk.streaming.state import StateTable
+from flowrisk.streaming.state import StateTable, staged
 
 
 class StreamingContext:
@@ -22,8 +21,12 @@ class StreamingContext:
     """
 
     def __init__(self, path: str, keys: list[str], seq: list[str], port: str = "dst_port",
-                 ts: str = "ts_us", delay_us: int = WINDOW_US, check_order: bool = True):
+                 ts: str = "ts_us", delay_us: int = WINDOW_US, check_order: bool = True,
+                 clock: list[str] | None = None):
+        """``clock``: columns (among the keys) whose rows share a clock, such as the host. Each clock then
+        has its own tail, no row is late, and one feed may lag behind another as long as it likes."""
         self.state = StateTable(f"{path.rstrip('/')}/tail")
+        self.stage_path, self.clock = f"{path.rstrip('/')}/stage-context", clock
         self.keys, self.seq, self.port, self.ts = keys, list(seq), port, ts
         self.delay, self.check_order = delay_us, check_order
 
@@ -46,10 +49,10 @@ class StreamingContext:
             late = F.coalesce(F.col(self.ts) < F.col("_seen"), F.lit(False))
         else:
             new, late = new.withColumn("_seen", F.lit(None).cast("bigint")), F.lit(False)
-        if mark is not None:
+        if mark is not None and not self.clock:
             late = late | (F.col(self.ts) < mark)
         helpers = ["_failed", "_epoch", "_old", "_seen", "_mark", "_late"]
-        new = stage(new.withColumn("_late", late & ~F.col("_old")), "batch")
+        new = staged(new.withColumn("_late", late & ~F.col("_old")), self.stage_path, epoch)
         late = F.col("_late")
         newest = batch.agg(F.max(self.ts)).first()[0]
         mark = max([m for m in (mark, None if newest is None else newest - self.delay)
@@ -57,7 +60,11 @@ class StreamingContext:
         good = new.filter(~late).drop("_seen", "_late")
         result = with_context(good, self.keys, self.ts, ["_epoch", *self.seq], self.port,
                               F.col("_failed")).filter(~F.col("_old")).drop(*helpers)
-        rest = good.filter(F.col(self.ts) >= mark - WINDOW_US) if mark is not None else good
+        if self.clock:
+            newest = good.groupBy(*self.clock).agg(F.max(self.ts).alias("_newest"))
+            rest = good.join(newest, self.clock).filter(F.col(self.ts) >= F.col("_newest") - WINDOW_US)
+        else:
+            rest = good.filter(F.col(self.ts) >= mark - WINDOW_US) if mark is not None else good
         marker = spark.range(1).select(F.lit(mark).cast("bigint").alias("_mark"))
         self.state.save(rest.select(*slim).unionByName(marker, allowMissingColumns=True), epoch)
         return result, new.filter(late).drop(*helpers)
@@ -66,8 +73,8 @@ class StreamingContext:
 class StreamingConnections:
     """Connections of each batch that the host's previous snapshot did not list.
 
-    A snapshot must arrive within one batch, as one file does. The state is the newest snapshot of
-    every host.
+    The state is the last two snapshots of every host: a snapshot may arrive in several batches, and its
+    parts are all compared with the one before it.
     """
 
     def __init__(self, path: str, key: list[str] = KEY):
@@ -79,6 +86,7 @@ class StreamingConnections:
         before = self.state.before(batch.sparkSession, epoch)
         if before is not None:
             rows = rows.unionByName(before.withColumn("_old", F.lit(True)), allowMissingColumns=True)
-        newest = rows.groupBy("host").agg(F.max("snapshot_no").alias("snapshot_no"))
-        self.state.save(rows.select(*slim).join(newest, ["host", "snapshot_no"], "left_semi"), epoch)
+        newest = rows.groupBy("host").agg(F.max("snapshot_no").alias("_newest"))
+        last_two = rows.join(newest, "host").filter(F.col("snapshot_no") >= F.col("_newest") - 1)
+        self.state.save(last_two.select(*slim).distinct(), epoch)
         return new_connections(rows, key=self.key).filter(~F.col("_old")).drop("_old")

@@ -8,10 +8,12 @@ from pyspark.sql import types as T
 
 from flowrisk.functions.model import BASELINE, LinearModel
 from flowrisk.functions.scoring import detections
+from flowrisk.operators.feedback import alert_id
 from flowrisk.operators.snapshots import ORDER, PROCESS, as_flows
-from flowrisk.session import stage
+from flowrisk.schema import ALERT
+from flowrisk.sources.connections import as_snapshots, parse_connection_json
 from flowrisk.streaming.context import StreamingConnections, StreamingContext
-from flowrisk.streaming.state import run, write_epoch
+from flowrisk.streaming.state import run, staged, write_epoch
 
 
 def open_folder(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -41,23 +43,36 @@ def stream_new_connections(stream: DataFrame, folder: str, interval: str | None
     return run(stream, process, f"{folder}/checkpoint", interval)
 
 
+def open_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """Collected polls: JSON files in folders ``host=.../snapshot_no=.../ts_us=...``."""
+    schema = "value string, host string, snapshot_no bigint, ts_us bigint"
+    texts = spark.readStream.schema(schema).option("wholetext", True).text(path)
+    return as_snapshots(parse_connection_json(texts, "value", ["host", "snapshot_no", "ts_us"]))
+
+
 def monitor(stream: DataFrame, folder: str, model: LinearModel = BASELINE, threshold: float = 0.60,
             alerts_only: bool = True, interval: str | None = None):
-    """Score every new connection in its process context and append the alerts.
+    """Score every new connection in its process context and append the alerts, in the columns of ALERT
+    with alert_id, host and ts_us.
 
-    Needs ``ts_us``, the time of the poll. Connections of a poll share it, so within a source time
-    follows the snapshot number.
+    Needs ``ts_us``, the time of the poll, and takes ``process_name``. Connections of a poll share the
+    time, so within a source time follows the snapshot number. Hosts have clocks of their own.
     """
     connections = StreamingConnections(folder)
-    context = StreamingContext(folder, PROCESS, ORDER, check_order=False)
+    context = StreamingContext(folder, PROCESS, ORDER, check_order=False, clock=["host"])
 
     def process(batch: DataFrame, epoch: int) -> None:
-        flows = stage(as_flows(connections.process(batch, epoch)), "connections")
+        if "process_name" not in batch.columns:
+            batch = batch.withColumn("process_name", F.lit("unknown"))
+        flows = staged(as_flows(connections.process(batch, epoch)), f"{folder}/stage-connections", epoch)
         rows, _ = context.process(flows, epoch, F.col("failed"))
-        scored = detections(rows, model, threshold,
-                            keep=["host", "ts_us", "src_port", "pid", "state", "direction"])
+        rows = rows.withColumnsRenamed({"state": "connection_state"}).withColumn(
+            "process_id", F.col("pid").cast("bigint"))
+        scored = detections(rows, model, threshold, keep=["host", "ts_us", "src_port", "process_id",
+                                                          "process_name", "connection_state", "direction"])
         if alerts_only:
             scored = scored.filter("is_alert")
-        write_epoch(scored, f"{folder}/alerts", epoch)
+        scored = scored.withColumn("alert_id", alert_id())
+        write_epoch(scored.select("host", "ts_us", "alert_id", *ALERT.names), f"{folder}/alerts", epoch)
 
     return run(stream, process, f"{folder}/checkpoint", interval)

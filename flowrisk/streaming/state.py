@@ -24,14 +24,23 @@ class StateTable:
 
     def before(self, spark: SparkSession, epoch: int) -> DataFrame | None:
         """What the previous batch left, or None for the first one."""
-        if epoch == 0 or not path_exists(spark, self._slot(epoch - 1)):
+        if epoch == 0:
             return None
+        if not path_exists(spark, self._slot(epoch - 1)):
+            raise ValueError(f"the state before batch {epoch} is missing: {self._slot(epoch - 1)}")
         return spark.read.parquet(self._slot(epoch - 1))
 
     def save(self, df: DataFrame, epoch: int) -> None:
         df.write.mode("overwrite").parquet(self._slot(epoch))
 
 
+def staged(df: DataFrame, path: str, epoch: int) -> DataFrame:
+    """Rows that several steps of a batch read; the batch after the next one takes the place."""
+    slot = f"{path.rstrip('/')}/slot{epoch % 2}"
+    df.write.mode("overwrite").parquet(slot)
+    return df.sparkSession.read.parquet(slot)
+
+
 def write_epoch(df: DataFrame, path: str, epoch: int) -> None:
     """Idempotent sink: a repeated batch replaces its own output."""
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch}")

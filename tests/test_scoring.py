@@ -96,4 +96,4 @@ def test_model_round_trip_and_version(spark, tmp_path):
     plain = LinearModel(BASELINE.means, BASELINE.scales, BASELINE.weights, BASELINE.bias)
     assert plain.version.startswith("sha256:") and len(plain.version) == 19
     with pytest.raises(ValueError, match="features"):
-        LinearModel.from_dict(BASELINE.to_dict() | {"feature_names": ["packets"]})
+        LinearModel.from_rows([("packets", 0.0, 1.0, 1.0)], 0.0)

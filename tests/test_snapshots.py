@@ -1,79 +1,161 @@
+"""Snapshots of connections, from files to the monitor's alerts."""
+
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from flowrisk.functions.scoring import detections
 from flowrisk.operators.snapshots import as_flows, new_connections, observations
-from flowrisk.sources.connections import (name_processes, parse_netstat, read_connections,
-                                          read_processes)
-from flowrisk.streaming.monitor import monitor, open_folder
+from flowrisk.plans import jobs
+from flowrisk.schema import ALERT
+from flowrisk.sources.connections import (name_processes, parse_netstat, read_connections, read_netstat,
+                                          read_processes, read_snapshots)
+from flowrisk.streaming.monitor import monitor, open_folder, stream_new_connections
+from flowrisk.streaming.state import StateTable
 from tests.conftest import rows
 
-ONE = {"local_address": "192.168.1.10", "local_port": 53000, "remote_address": "1.1.1.1",
-       "remote_port": 443, "state": "Established", "owning_process": 123, "process_name": "browser"}
 POLL = ("host string, snapshot_no bigint, local_address string, local_port int, "
         "remote_address string, remote_port int, state string, pid int")
 
 
+def link(port, **changes):
+    return {"local_address": "172.16.0.4", "local_port": 49000 + int(port), "remote_address": "172.16.7.7",
+            "remote_port": port, "state": "CloseWait", "owning_process": 31, "process_name": "agent"} | changes
+
+
 def test_connection_json(spark, tmp_path):
-    (tmp_path / "a.json").write_text("﻿" + json.dumps(ONE), encoding="utf-8")
-    (tmp_path / "b.json").write_text(json.dumps([
-        ONE | {"remote_port": 0}, {"remote_port": 80, "state": None}]))
+    (tmp_path / "one.json").write_text("﻿" + json.dumps(link(25)), encoding="utf-8")
+    (tmp_path / "many.json").write_text(json.dumps(
+        [link(0), 17, "text", None, ["x"], link("8443", local_port="77"), {"remote_port": 9, "state": None, "more": {}}]))
+    (tmp_path / "none.json").write_text("[]")
+    (tmp_path / "blank.json").write_text(" \n")
     found = rows(read_connections(spark, str(tmp_path)).drop("file"), "remote_port")
-    assert found == [{"local_address": "", "local_port": 0, "remote_address": "", "remote_port": 80,
-                      "state": "Unknown", "owning_process": 0, "process_name": "unknown"}, ONE]
+    assert found == [{"local_address": "", "local_port": 0, "remote_address": "", "remote_port": 9,
+                      "state": "Unknown", "owning_process": 0, "process_name": "unknown"},
+                     link(25), link(8443, local_port=77)]
+
+
+@pytest.mark.parametrize("text", ['[{"remote_port": 5}', '[{"remote_port": "many"}]', "no json"])
+def test_broken_connection_json_fails(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(Exception, match="MALFORMED|CAST_INVALID|Malformed"):
+        read_connections(spark, str(tmp_path)).collect()
 
 
 def test_netstat_and_process_list(spark, tmp_path):
-    (tmp_path / "p.csv").write_text('"browser.exe","123","Console"\n"x","n/a"\n"lonely"\n')
-    lines = ["  TCP    192.168.1.10:53000    1.1.1.1:443    ESTABLISHED    123",
-             "  TCP    [::]:135    [::]:0    LISTENING    456", "Proto  Local  Foreign  State  PID",
-             "  TCP    [fe80::1%3]:5000    [2001:db8::9]:80    FIN_WAIT_1    7",
-             "  TCP    1.2.3.4:x    1.1.1.1:443    ESTABLISHED    123"]
-    parsed = parse_netstat(spark.createDataFrame([(v,) for v in lines], "value string"))
-    found = rows(name_processes(parsed, read_processes(spark, str(tmp_path / "p.csv"))), "remote_port")
-    assert [(r["local_address"], r["remote_address"], r["state"], r["process_name"]) for r in found] == [
-        ("fe80::1%3", "2001:db8::9", "FinWait1", "unknown"),
-        ("192.168.1.10", "1.1.1.1", "Established", "browser.exe")]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "z.csv").write_text('"old.exe","31","Services"\n"idle","none"\n"alone"\n')
+    import os
+
+    os.utime(tmp_path / "p" / "z.csv", (1_000_000, 1_000_000))
+    (tmp_path / "p" / "a.csv").write_text('"mid.exe","31"\n"new.exe","31","Console"\n"other","5"\n')
+    assert {r.pid: r.process_name for r in read_processes(spark, str(tmp_path / "p")).collect()} == {
+        31: "new.exe", 5: "other"}
+    lines = ["  TCP    172.16.0.4:49001    172.16.7.7:8443    TIME_WAIT    31",
+             "  TCP    [::1]:445    [::]:0    LISTENING    4", "Proto  Local  Foreign  State  PID",
+             "  TCP    [fe80::7%2]:6000    [2001:db8::5]:993    LAST_ACK    8",
+             "  TCP    1.2.3.4:y    172.16.7.7:80    ESTABLISHED    31", "  UDP    0.0.0.0:53    *:*    9"]
+    (tmp_path / "n" / "host=h").mkdir(parents=True)
+    (tmp_path / "n" / "host=h" / "a.txt").write_text("\n".join(lines))
+    found = rows(name_processes(read_netstat(spark, str(tmp_path / "n")),
+                                read_processes(spark, str(tmp_path / "p"))), "remote_port")
+    assert [(r["host"], r["local_address"], r["remote_port"], r["state"], r["process_name"]) for r in found] == [
+        ("h", "fe80::7%2", 993, "LastAck", "unknown"), ("h", "172.16.0.4", 8443, "TimeWait", "new.exe")]
+    assert parse_netstat(spark.createDataFrame([("TCP a:1 b:2 X 3",)], "value string")).first().state == "X"
 
 
 def polls(spark, data):
     return spark.createDataFrame(data, POLL).withColumn(
-        "ts_us", F.lit(1_700_000_000_000_000) + F.col("snapshot_no") * 1_000_000)
+        "ts_us", F.lit(1_650_000_000_000_000) + F.col("snapshot_no") * 2_000_000)
 
 
-RDP = ("192.168.1.10", 3389, "10.0.0.55", 51000, "Established", 10)
-WEB = ("192.168.1.10", 53000, "1.1.1.1", 443, "SynSent", 20)
+SSH = ("10.1.1.1", 22, "10.2.2.2", 60022, "Established", 3)
+MAIL = ("10.1.1.1", 50025, "10.3.3.3", 25, "SynReceived", 4)
 
 
 def test_direction_and_returning_connections(spark):
-    data = polls(spark, [("h", 1, *RDP), ("h", 1, *WEB), ("h", 2, *RDP), ("h", 3, *RDP),
-                         ("h", 3, *WEB), ("g", 2, *WEB)])
+    data = polls(spark, [("a", 5, *SSH), ("a", 5, *MAIL), ("a", 6, *MAIL), ("a", 7, *SSH), ("a", 7, *MAIL),
+                         ("b", 6, *SSH)])
     assert sorted((r.host, r.snapshot_no, r.pid) for r in new_connections(data).collect()) == [
-        ("g", 2, 20), ("h", 1, 10), ("h", 1, 20), ("h", 3, 20)]
-    inbound, outbound = rows(as_flows(data.filter("host = 'h' and snapshot_no = 1")), "pid")
-    assert (inbound["direction"], inbound["src_ip"], inbound["dst_port"]) == (
-        "inbound", "10.0.0.55", 3389)
-    assert (outbound["direction"], outbound["syn_count"], inbound["syn_count"]) == ("outbound", 1, 0)
+        ("a", 5, 3), ("a", 5, 4), ("a", 7, 3), ("b", 6, 3)]
+    inbound, outbound = rows(as_flows(data.filter("host = 'a' and snapshot_no = 5")), "pid")
+    assert (inbound["direction"], inbound["src_ip"], inbound["dst_port"], inbound["syn_count"]) == (
+        "inbound", "10.2.2.2", 22, 0)
+    assert (outbound["direction"], outbound["dst_ip"], outbound["syn_count"]) == ("outbound", "10.3.3.3", 1)
 
 
-def test_processes_do_not_share_windows(spark):
-    data = [("h", 1, "127.0.0.1", 50000 + i, "127.0.0.1", 60000 + i, "Established", 100 + i)
-            for i in range(24)]
+def test_windows_belong_to_one_process(spark):
+    data = [("a", 1, "10.1.1.1", 50000 + i, "10.3.3.3", 2000 + i % 3, "Established", i % 5) for i in range(30)]
     found = observations(polls(spark, data)).collect()
-    assert {(r.connections_60s, r.unique_dst_ports_60s) for r in found} == {(1, 1)}
+    assert {r.pid: 0 for r in found}.keys() == set(range(5))
+    for pid in range(5):
+        own = [r for r in found if r.pid == pid]
+        assert max(r.connections_60s for r in own) == 6 and max(r.unique_dst_ports_60s for r in own) == 3
+
+
+def swarm():
+    return [("h", poll, "10.5.5.5", 42000 + poll * 11 + i, "10.6.6.6", 900 + i * poll % 40,
+             "Closed" if i % 4 else "SynSent", 12) for poll in range(1, 8) for i in range(11)]
+
+
+KEEP = ["host", "ts_us", "src_port", "direction"]
 
 
 def test_monitor_stream_equals_batch(spark, tmp_path):
-    data = [("h", poll, "10.0.0.9", 40000 + poll * 9 + i, "203.0.113.7", 1000 + i * poll % 50,
-             "Closed" if i % 3 else "SynSent", 7) for poll in range(1, 9) for i in range(9)]
-    frame = polls(spark, data)
-    for part in ("snapshot_no < 4", "snapshot_no = 4", "snapshot_no > 4"):
+    frame = polls(spark, swarm())
+    for part in ("snapshot_no < 3", "snapshot_no = 3", "snapshot_no > 3"):
         frame.filter(part).write.mode("append").parquet(str(tmp_path / "in"))
         monitor(open_folder(spark, str(tmp_path / "in"), frame.schema), str(tmp_path / "run"),
                 alerts_only=False).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "run" / "alerts")).drop("epoch")
-    want = detections(observations(frame), keep=["host", "ts_us", "src_port", "pid", "state",
-                                                 "direction"])
-    assert rows(got, "ts_us", "src_port") == rows(want, "ts_us", "src_port")
+    got = spark.read.parquet(str(tmp_path / "run" / "alerts"))
+    assert set(got.columns) == {*ALERT.names, "host", "ts_us", "alert_id", "epoch"}
+    want = detections(observations(frame), keep=KEEP)
+    assert rows(got.select(want.columns), "ts_us", "src_port") == rows(want, "ts_us", "src_port")
     assert got.filter("is_alert").count() > 10
+    assert len(list((tmp_path / "run" / "stage-connections").iterdir())) <= 2
+
+
+def test_a_host_that_lags_behind_is_not_late(spark, tmp_path):
+    slow = [("slow", poll, *r[2:]) for poll, r in enumerate(swarm()[:4], 1)]
+    fast = [("fast", 200 + i, *r[2:]) for i, r in enumerate(swarm()[:4])]
+    frame = polls(spark, slow + fast)
+    for part in ("host = 'fast'", "host = 'slow' and snapshot_no < 3", "host = 'slow' and snapshot_no >= 3"):
+        frame.filter(part).write.mode("append").parquet(str(tmp_path / "in"))
+        monitor(open_folder(spark, str(tmp_path / "in"), frame.schema), str(tmp_path / "run"),
+                alerts_only=False).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "run" / "alerts"))
+    want = detections(observations(frame), keep=KEEP)
+    assert rows(got.select(want.columns), "host", "ts_us") == rows(want, "host", "ts_us")
+
+
+def test_a_snapshot_in_two_batches(spark, tmp_path):
+    frame = polls(spark, [("h", 1, *SSH), ("h", 1, *MAIL), ("h", 2, *SSH), ("h", 2, *MAIL), ("h", 2, *MAIL[:1], 50026, *MAIL[2:])])
+    for part in ("snapshot_no = 1", "snapshot_no = 2 and pid = 3", "snapshot_no = 2 and pid = 4"):
+        frame.filter(part).write.mode("append").parquet(str(tmp_path / "in"))
+        stream_new_connections(open_folder(spark, str(tmp_path / "in"), frame.schema), str(tmp_path / "run")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "run" / "rows")).collect()
+    assert sorted((r.snapshot_no, r.local_port) for r in got) == [(1, 22), (1, 50025), (2, 50026)]
+
+
+def test_missing_state_fails(spark, tmp_path):
+    state = StateTable(str(tmp_path / "s"))
+    assert state.before(spark, 0) is None
+    with pytest.raises(ValueError, match="missing"):
+        state.before(spark, 4)
+
+
+def test_from_collected_files_to_the_alert_view(spark, tmp_path):
+    source, folder = tmp_path / "polls", str(tmp_path / "run")
+    for poll in range(1, 4):
+        path = source / "host=desk" / f"snapshot_no={poll}" / f"ts_us={1_650_000_000_000_000 + poll * 1_000_000}"
+        path.mkdir(parents=True)
+        (path / "c.json").write_text(json.dumps(
+            [link(4444, local_port=50_000 + poll * 40 + i, state="Closed", process_name="Updater") for i in range(30)]))
+        jobs.monitor_snapshots(spark, str(source), folder).awaitTermination()
+    assert read_snapshots(spark, str(source)).count() == 90
+    view, skipped = jobs.alert_view(spark, f"{folder}/alerts", query="updater", limit=5)
+    shown = view.collect()
+    assert skipped == 0 and len(shown) == 5
+    assert {(r.process_id, r.process_name, r.connection_state, r.host, r.epoch) for r in shown} == {
+        (31, "Updater", "Closed", "desk", 2)}
