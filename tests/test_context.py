@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowrisk.operators.context import time_reversals, with_context
 from flowrisk.operators.running import max_before
-from flowrisk.operators.select import kth_smallest, percentiles
+from flowrisk.operators.select import kth_smallest, order_statistics, percentiles
 from flowrisk.streaming.context import StreamingContext
 
 SCHEMA = "src_ip string, ts_us bigint, seq bigint, dst_port int, rst_count bigint"
@@ -98,6 +98,14 @@ def test_order_statistic(spark, kind):
         kth_smallest(df, "v", 501)
 
 
+def test_order_statistics_of_extreme_and_tied_values(spark):
+    values = [-1e308, 0.0, 1e308, -5e-324, 5e-324] + [3.0] * 5000 + [10.0 ** -i for i in range(300)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+    ordered = sorted(values)
+    ranks = [1, 2, 3, 150, 303, 304, 5000, len(values)]
+    assert order_statistics(df, [(F.col("v"), k) for k in ranks]) == [ordered[k - 1] for k in ranks]
+
+
 def test_stream_equals_batch_and_sets_late_rows_aside(spark, tmp_path):
     rng = random.Random(9)
     data = [(f"s{rng.randrange(4)}", i * 700_000, i, rng.randrange(5), rng.randrange(2))
