@@ -62,6 +62,8 @@ def with_context(df: DataFrame, keys: list[str], ts: str = "ts_us", seq: list[st
     ties = [f"coalesce(_s0 div {SEQ_BLOCK}, -1)"] if len(seq) == 1 else [
         f"coalesce(_s{i}, {'-1' if dict(df.dtypes)[s] != 'string' else repr('')})"
         for i, s in enumerate(seq[:-1])]
+    if len(seq) > 1 and dict(df.dtypes)[seq[-1]] in ("int", "bigint"):
+        ties.append(f"coalesce(_s{len(seq) - 1} div {SEQ_BLOCK}, -1)")
     entering = F.col("_enter") == 1
     both = (df.withColumn("_failed", failed.cast("bigint"))
             .withColumn("_enter", F.explode(F.array(F.lit(0), F.lit(1)))))

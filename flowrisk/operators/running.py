@@ -30,7 +30,7 @@ def assign_cells(events: DataFrame, group: list[str], time: str, ties: list[str]
                  limit: int = CELL_LIMIT) -> tuple[DataFrame, list[str]]:
     """Add the cell columns; a finer one is added only for cells with more than ``limit`` rows.
 
-    At most rows / limit cells can be hot, which bounds the table that is broadcast.
+    At most rows / limit cells can be hot; the optimizer broadcasts that table if its size allows it.
     """
     shared_dir(events.sparkSession)
     digits = _digits(time, ties)
@@ -43,7 +43,7 @@ def assign_cells(events: DataFrame, group: list[str], time: str, ties: list[str]
         if hot.isEmpty():
             break
         hot = hot.withColumn("_hot", F.lit(True)).checkpoint()
-        cells = (cells.join(F.broadcast(hot), [*group, *used], "left")
+        cells = (cells.join(hot, [*group, *used], "left")
                  .withColumn(name, F.when(F.col("_hot"), digit)).drop("_hot"))
         used.append(name)
     return cells, used

@@ -13,7 +13,7 @@ from flowrisk.operators import response as R
 from flowrisk.operators.training import feedback_cap, training_union
 from flowrisk.plans import fixtures as X
 from flowrisk.plans.oracle import ALERTS, FEATURES, FLOWS, with_
-from flowrisk.plans.q_scoring import alerts
+from flowrisk.plans.q_scoring import alerts, scored
 from flowrisk.plans.registry import query
 
 REVIEWED_AT = "2024-02-01T00:00:00+00:00"
@@ -101,7 +101,7 @@ def review_feedback(spark, d):
     count(*) FILTER (WHERE seq % 3 <> 0 AND seq % 14 <> 0) AS written,
     count(*) FILTER (WHERE seq % 3 <> 0 AND seq % 14 = 0) AS already_reviewed FROM pending""")
 def review_counters(spark, d):
-    rows = alerts(spark, d).select("seq", "alert_id", "feature_snapshot")
+    rows = alerts(spark, d, "seq", "alert_id", "feature_snapshot")
     queue = pending_queue(rows)
     return B.review_counters(queue, queue.filter("seq % 3 <> 0"), ledger(rows))
 
@@ -111,7 +111,7 @@ def review_counters(spark, d):
     '{REVIEWED_AT}' AS created_at FROM alerts WHERE seq % 5 = 0 AND seq % 7 <> 0""")
 def feedback_new(spark, d):
     """Requests for every fifth alert and for unknown ids; queued and unknown ones drop out."""
-    rows = alerts(spark, d).select("seq", "alert_id")
+    rows = alerts(spark, d, "seq", "alert_id")
     asked = rows.filter("seq % 5 = 0").select(
         "alert_id", F.concat(F.lit("note "), F.col("seq").cast("string")).alias("note"))
     asked = asked.unionByName(orphans(spark, d).withColumn("note", F.lit("")))
@@ -188,7 +188,7 @@ def plan(spark, d):
     target = (F.when(F.col("seq") % 50 == 0, F.concat(F.lit("127.0.0."), (F.col("seq") % 7).cast("string")))
               .when(F.col("seq") % 50 == 1, F.concat(F.lit("224.0.0."), (F.col("seq") % 7).cast("string")))
               .otherwise(F.col("dst_ip")))
-    rows = alerts(spark, d).select(target.alias("ip"))
+    rows = scored(spark, d).filter("is_alert").select(target.alias("ip"))
     return R.block_plan(rows, _networks("198.51.0.0/18"), 600,
                         F.lit("2024-02-01 00:00:00").cast("timestamp"), "ip")
 

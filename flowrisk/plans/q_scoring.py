@@ -30,9 +30,11 @@ def found(spark, d) -> DataFrame:
     return S.detections(flows, keep=["seq", "ts_us", "src_port"])
 
 
-def alerts(spark, d) -> DataFrame:
-    """The alert table with ids: written once, as the jobs that follow use it more than once."""
-    return stage(found(spark, d).filter("is_alert").withColumn("alert_id", B.alert_id()), "alerts")
+def alerts(spark, d, *columns: str) -> DataFrame:
+    """The alert table with ids, or the named columns of it: written once, as the jobs that follow use it more
+    than once. What is not named is not computed."""
+    rows = found(spark, d).filter("is_alert").withColumn("alert_id", B.alert_id())
+    return stage(rows.select(*columns) if columns else rows, "alerts")
 
 
 @query("features", with_(FLOWS, CTX, features()) + f"SELECT seq, {_F} FROM feat")
@@ -103,7 +105,7 @@ def alerts_only(spark, d):
 
 @query("alert_id", with_(*ALERTS) + "SELECT seq, alert_id, timestamp FROM alerts")
 def alert_id(spark, d):
-    return alerts(spark, d).select("seq", "alert_id", "timestamp")
+    return alerts(spark, d, "seq", "alert_id", "timestamp")
 
 
 @query("alert_search", with_(*ALERTS) + """SELECT seq, alert_id, severity FROM alerts
@@ -186,7 +188,7 @@ def analyze(spark, d):
   FROM alerts LEFT JOIN p USING (alert_id) GROUP BY severity""")
 def alerts_view(spark, d):
     """What the alert page shows: alerts and how many have feedback, by severity."""
-    rows = alerts(spark, d).select("seq", "alert_id", "severity")
+    rows = alerts(spark, d, "seq", "alert_id", "severity")
     flagged = B.flag_feedback(rows, rows.filter("seq % 7 = 0"))
     return flagged.groupBy("severity").agg(
         F.count(F.lit(1)).alias("alerts"), F.count_if("has_feedback").alias("with_feedback"))
