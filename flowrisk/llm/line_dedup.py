@@ -18,25 +18,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowrisk.functions.barrier import computed_once
-from flowrisk.llm.common import WORD_SQL, plain_text
+from flowrisk.llm.common import WORD_SQL
 from flowrisk.session import stage
 
 LEAST_WORDS = 50
 
 
 def named(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(id, digest, t, row): rows that agree in id and digest are copies of one row; row holds all columns."""
-    return docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("digest"), plain_text(text).alias("t"),
+    """(id, digest, row): rows that agree in id and digest are copies of one row; row holds all columns."""
+    return docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("digest"),
                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
-def lines(rows: DataFrame, least_words: int) -> DataFrame:
+def text_of(text: str):
+    """The text inside a row, null as empty: rows are shuffled with one copy of it."""
+    return F.coalesce(F.col("row")[text], F.lit(""))
+
+
+def lines(rows: DataFrame, least_words: int, text: str) -> DataFrame:
     """(id, digest, p, h1, h2, forward, backward) of every line with a word, counted by p from 0.
 
     forward and backward are the lines of the shortest window of ``least_words`` words that starts or ends there;
     0 if the document has too few.
     """
-    each = (rows.select("id", "digest", F.posexplode(F.split("t", "\n")).alias("line", "s"))
+    each = (rows.select("id", "digest", F.posexplode(F.split(text_of(text), "\n")).alias("line", "s"))
             .select("id", "digest", "line", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), F.col("s")).alias("h2"),
                     F.regexp_count("s", F.lit(WORD_SQL)).alias("w"))
             .where("w > 0"))
@@ -100,9 +105,12 @@ def later_copies(rows: DataFrame) -> DataFrame:
     found = windows.where("false")
     while depth <= longest:
         mine = windows.where((F.col("m") >= depth) & (F.col("m") < 2 * depth))
-        starts = joined(mine, level).withColumn("start", F.col("p")).withColumn("p", F.col("p") + F.col("m") - depth)
-        both = (joined(starts, level.withColumnRenamed("rank", "last"))
+        starts = joined(mine, level).withColumn("start", F.col("p"))
+        longer = starts.where(F.col("m") > depth).withColumn("p", F.col("p") + F.col("m") - depth)
+        both = (starts.where(F.col("m") == depth).withColumn("last", F.col("rank"))
+                .unionByName(joined(longer, level.withColumnRenamed("rank", "last")))
                 .select("m", "rank", "last", F.struct("id", "digest", F.col("start").alias("p")).alias("place")))
+        both = stage(both, "both")
         first = (both.groupBy("m", "rank", "last").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
                  .where("n > 1").drop("n"))
         found = found.union(both.join(first, ["m", "rank", "last"]).where(~F.col("place").eqNullSafe(F.col("first")))
@@ -122,15 +130,15 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, text: str = "te
     stay in ``row``, whatever their names.
     """
     rows = named(docs, text, key)
-    copies = later_copies(stage(lines(rows, least_words), "lines"))
+    copies = later_copies(stage(lines(rows, least_words, text), "lines"))
     gone = (copies.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"),
                           F.explode(F.sequence("p", F.col("p") + F.col("m") - 1)).alias("p"))
             .groupBy("_id", "_digest").agg(F.collect_set("p").alias("gone")))
     copy = F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.lit(0)))
     out = (rows.withColumn("copy", copy)
            .join(gone, F.col("id").eqNullSafe(F.col("_id")) & F.col("digest").eqNullSafe(F.col("_digest")), "left")
-           .select("row", "t", "copy", "gone", F.split("t", "\n").alias("line"),
-                   F.regexp_count("t", F.lit(WORD_SQL)).alias("words")))
+           .select("row", text_of(text).alias("t"), "copy", "gone", F.split(text_of(text), "\n").alias("line"),
+                   F.regexp_count(text_of(text), F.lit(WORD_SQL)).alias("words")))
     # The barriers keep the split lines from being computed again for every element below.
     out = computed_once(out)
     worded = F.filter(F.sequence(F.lit(0), F.size("line") - 1), lambda i: F.col("line")[i].rlike(WORD_SQL))
