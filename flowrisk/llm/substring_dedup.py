@@ -20,8 +20,6 @@ sorted but decided by counting the hash of every string in them, which needs no
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,7 +31,7 @@ from flowrisk.session import stage
 
 LENGTH, GRAM = 400, 128
 #: Bytes hashed at one time; contexts sorted at one time; contexts in a group that is sorted.
-SEGMENT, BATCH, LIMIT = 1 << 20, 50_000, 20_000
+SEGMENT, BATCH, LIMIT = 1 << 20, 50_000, 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 
 
