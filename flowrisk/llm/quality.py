@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 from flowrisk.llm.common import WORD, plain_text
 from flowrisk.llm.grams import _ODD, char_grams, code_points, mixed, word_hashes
 
-#: Hashed features of each kind, and how many labelled rows of each class a model is fitted to.
-BITS, SAMPLE = 16, 2048
+#: Hashed features of each kind, how many labelled rows of each class a model is fitted to, and how many
+#: different features these rows may have in all (320 MB); rows beyond that are left out of the sample.
+BITS, SAMPLE, ENTRIES = 16, 2048, 1 << 24
 GRAM = 4
 THRESHOLD = 0.5
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -78,11 +79,15 @@ def fit(texts: list[str], quality: np.ndarray, steps: int = 120, rate: float = 0
     size = 2 << BITS
     held = np.arange(len(texts)) % 4 == 0
     ids, share, row = [], [], []
-    chosen = np.flatnonzero(~held)
+    chosen, entries = np.flatnonzero(~held), 0
     for i, at in enumerate(chosen):
+        if entries > ENTRIES:
+            chosen = chosen[:i]
+            break
         for part in feature_ids(texts[at]):
             if len(part):
                 unique, count = np.unique(part, return_counts=True)
+                entries += len(unique)
                 ids.append(unique), share.append((count / len(part)).astype(np.float32))
                 row.append(np.full(len(unique), i))
     ids, share, row = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, share, row))
