@@ -19,7 +19,7 @@ from flowrisk.session import stage
 WEIGHTS = (5, 2, 1)
 #: Words in a block, slots in an output shard, rounds of a permutation, buckets of a source's stream, and slots
 #: that one row unfolds into.
-BLOCK, SHARD, ROUNDS, BUCKETS, CHUNK = 512, 4096, 32, 1024, 1 << 16
+BLOCK, SHARD, ROUNDS, BUCKETS, CHUNK = 512, 4096, 32, 1024, 1 << 14
 SEED = 20240601
 
 
@@ -86,7 +86,9 @@ def slots(plan: DataFrame, shard: int = SHARD) -> DataFrame:
     rows = (plan.withColumn("slots", slot_count).withColumn("start", F.coalesce(F.sum("slots").over(before), F.lit(0)))
             .withColumn("all", F.sum("slots").over(Window.partitionBy())).where("slots > 0"))
     chunks = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / CHUNK))))
-    each = (chunks.repartition("no", "chunk")
+    # The chunks are few and small until they unfold, so their number, not their size, says how many tasks.
+    parts = plan.agg(F.sum(F.ceil(slot_count / CHUNK))).first()[0] or 1
+    each = (chunks.repartition(int(min(parts, 10_000)), "no", "chunk")
             .withColumn("i", F.explode(F.sequence(F.col("chunk") * CHUNK,
                                                   F.least((F.col("chunk") + 1) * CHUNK, "slots") - 1))))
     each = (each.withColumn("pass", F.floor(F.col("i") / F.col("blocks")))
