@@ -1,10 +1,11 @@
-"""Hashed character n-grams and words of whole texts, as numpy arrays."""
+"""Hashed character n-grams, words and word shingles of whole texts, as numpy arrays."""
 
 from __future__ import annotations
 
 import sys
 
 import numpy as np
+import xxhash
 
 from flowrisk.llm.common import worker_cache
 
@@ -54,3 +55,17 @@ def word_hashes(points: np.ndarray) -> np.ndarray:
     spots = (points.astype(np.uint64) + np.uint64(1)) * _ODD[40] + at.astype(np.uint64) * _ODD[41]
     values = np.where(inside, mixed(spots), np.uint64(0))
     return mixed(np.add.reduceat(values, starts) + (ends - starts).astype(np.uint64))
+
+
+def shingle_hashes(text: str, size: int) -> np.ndarray:
+    """XXH64 (seed 42) of the space-joined shingles of the text with A-Z lower-cased, repeats included."""
+    words = text.encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[size - 1:].tolist())], np.uint64)
