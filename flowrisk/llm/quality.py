@@ -127,8 +127,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
           key: str = "doc_id") -> np.ndarray | None:
     """The model; None if a class has no labelled text. A document labelled both ways counts as bad.
 
-    The sample is the ``sample`` rows of each class whose key hashes lowest: at most 2 * sample rows, which
-    bounds the broadcast and the one training task.
+    The sample are the rows of the ``sample`` keys of each class that hash lowest. Where rows repeat keys, the
+    2 * sample rows with the lowest hashes of key and text stay, which bounds the broadcast and the one training task.
     """
     marked = (labels.where(F.col(key).isNotNull() & F.col("quality").isin(0, 1))
               .groupBy(F.col(key).alias("_key")).agg(F.min("quality").cast("int").alias("quality")))
@@ -137,10 +137,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
               .union(marked.where("quality = 1").orderBy(*order).limit(sample)))
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     rows = texts.join(F.broadcast(chosen), "_key").select(F.xxhash64("_key", "text").alias("place"), "text", "quality")
+    rows = rows.orderBy("place", F.xxhash64("text")).limit(2 * sample)  # rows that repeat a key
 
     def fitted(batches):
-        rows = [r for b in batches for r in zip(*[c.to_pylist() for c in b.columns])]
-        rows = sorted(rows)[:2 * sample]  # rows that repeat a key
+        rows = sorted(r for b in batches for r in zip(*[c.to_pylist() for c in b.columns]))
         quality = np.array([r[2] for r in rows])
         if len(set(quality)) == 2:
             yield pa.RecordBatch.from_arrays([pa.array([fit([r[1] for r in rows], quality).tobytes()], pa.binary())],

@@ -113,3 +113,19 @@ def test_calibration(margins):
     a, b = quality.platt(z, y)
     p = 1 / (1 + np.exp(-(a * z + b)))
     assert a > 0 and abs(p.mean() - 0.5) < 0.05
+
+
+def test_training_task_gets_bounded_rows_of_a_repeated_id(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["one", "two", "three", "four"], k=30)) + f" {i}" for i in range(300)]
+    docs = spark.createDataFrame([(i if i < 20 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    seen, plain = [], type(docs).repartition
+
+    def repartition(self, *args):
+        seen.append(self.count())
+        return plain(self, *args)
+
+    monkeypatch.setattr(type(docs), "repartition", repartition)
+    quality.train(docs, labels, sample=10)
+    assert seen == [20]
