@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowrisk.llm import chat, language, line_dedup, mixing, packing, quality, simhash, substring_dedup, token_counts, topk
+from flowrisk.llm import (chat, decontaminate, hard_negatives, language, line_dedup, merkle, mixing, packing, quality, simhash,
+                          substring_dedup, token_counts, topk)
 from flowrisk.llm.common import small_batches, table
 from flowrisk.llm.tokens import tokenizer_path
 from flowrisk.session import shared_path, stage
@@ -85,3 +86,19 @@ def op7(spark, sf_dir):
 def op8(spark, sf_dir):
     return (substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
             .withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept"))
+
+
+@query("op11_decontamination", decontaminate.ORACLE)
+def op11(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_hard_negatives", hard_negatives.ORACLE)
+def op12(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("id") % 100 == 0)
+
+
+@query("op13_merkle", merkle.ORACLE)
+def op13(spark, sf_dir):
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))
