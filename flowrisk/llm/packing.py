@@ -66,9 +66,7 @@ def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
         free[int(gain.argmax())] = True
         while True:
             index = np.flatnonzero(free)
-            some = a[:, index]
-            gram = some.T @ some
-            solved = np.linalg.solve(gram + 1e-10 * np.trace(gram) / len(index) * np.eye(len(index)), some.T @ b)
+            solved = np.linalg.lstsq(a[:, index], b, rcond=None)[0]
             if solved.size == 0 or solved.min() > 0:
                 x[:] = 0
                 x[index] = solved
@@ -160,7 +158,8 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, bin_si
 
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     order = [c for c in columns]
-    dealt = ranked(binned, ["bin"], order, "rank").select(*columns, F.col("bin").cast("long").alias("bin"), "rank")
+    buckets = max(1024, int(histogram.sum()) >> 16)  # about 65,536 pieces in each, if all are of one length
+    dealt = ranked(binned, ["bin"], order, "rank", buckets).select(*columns, F.col("bin").cast("long").alias("bin"), "rank")
     placed = dealt.mapInArrow(place, f"{PIECES}, bin long, rank long, sequence_id long")
     # A sequence holds at most window / 1 pieces, so its window is bounded.
     inside = (Window.partitionBy("sequence_id").orderBy(F.col("bin").desc(), "rank")
