@@ -17,9 +17,9 @@ from flowrisk.llm.common import WORD_SQL, plain_text
 from flowrisk.session import stage
 
 WEIGHTS = (5, 2, 1)
-#: Words in a block, slots in an output shard, rounds of a permutation, buckets of a source's stream, and slots
-#: that one row unfolds into.
-BLOCK, SHARD, ROUNDS, BUCKETS, CHUNK = 512, 4096, 32, 1024, 1 << 14
+#: Words in a block, slots in an output shard, rounds of a permutation, least number of buckets of a source's stream,
+#: documents in a bucket if all are of one source, and slots that one row unfolds into.
+BLOCK, SHARD, ROUNDS, BUCKETS, BUCKET, CHUNK = 512, 4096, 32, 1024, 1 << 16, 1 << 14
 SEED = 20240601
 
 
@@ -112,8 +112,9 @@ def sizes(docs: DataFrame, text: str = "text", source: str = "source", key: str
 def positions(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds no and start: each document's place in its source's stream, in buckets so that no source is one group."""
     names = plan.select("no", F.col("source").alias("_source"))
+    buckets = max(BUCKETS, -(-sized.count() // BUCKET))
     rows = (sized.join(names, sized["source"].eqNullSafe(names["_source"])).drop("_source")
-            .withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), F.col("key"), F.col("tie")), F.lit(BUCKETS))))
+            .withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), F.col("key"), F.col("tie")), F.lit(buckets))))
     first = Window.partitionBy("no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (rows.groupBy("no", "bucket").agg(F.sum("size").alias("n"))
               .select("no", "bucket", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("bucket_start")))
@@ -146,25 +147,31 @@ def taken_pieces(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, **col
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, **columns) -> DataFrame:
-    """(key, size, source_size, target, taken) of every row: the words that the mix takes of it, repeats counted.
+    """(key, size, source_size, target, taken, n_shards, first_shard, first_place) of every row.
 
+    taken is the words that the mix takes of it, repeats counted; n_shards the output shards that hold some of
+    them; first_shard and first_place where the first of these stand (null if none). The draw decides the latter three.
     Null text has no words and is not taken. A null source is a source, the last one. Rows that repeat a key are
     documents of their own. Ties in a stream's order are broken by a digest of the text. Reruns agree. An empty
     table gives no rows; extra columns are ignored.
     """
     placed, plan, pieces = taken_pieces(docs, weights, most, **columns)
-    words = pieces.groupBy("no", "start").agg(F.sum("words").alias("taken"))
+    words = pieces.groupBy("no", "start").agg(F.sum("words").alias("taken"), F.count_distinct("shard").alias("n_shards"),
+                                              F.min(F.struct("shard", "place")).alias("at"))
     return (placed.join(plan.select("no", "source_size", "target"), "no")
             .join(words.withColumnsRenamed({"no": "_no", "start": "_start"}),
                   (F.col("no") == F.col("_no")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0), "left")
             .select(F.col("key").alias(columns.get("key", "doc_id")), "size", "source_size", "target",
-                    F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
+                    F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("n_shards", F.lit(0)).alias("n_shards"),
+                    F.col("at.shard").cast("long").alias("first_shard"), F.col("at.place").cast("long").alias("first_place")))
 
 
 def mixture(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, text: str = "text", source: str = "source",
             key: str = "doc_id", n_chars: str = "n_chars") -> DataFrame:
     """The mix as rows of ``docs``: one for each pass that takes words of a document, with the words taken.
 
+    Rows are dealt by output shard, a shard whole in one partition, and stand there in the order of their first
+    places, so files written from the result are the shards in the order that the draw gives.
     A pass that takes a document whole leaves its text as it is; else the text is the taken words with the white
     space before each, and ``n_chars``, if there is one, is its length.
     """
@@ -172,7 +179,8 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, text: str
     copy = Window.partitionBy("key", "tie").orderBy("start")
     places = placed.where("size > 0").select("no", "start", "key", "tie", "size", F.row_number().over(copy).alias("copy"))
     parts = (pieces.groupBy("no", "start", "pass")
-             .agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts")))
+             .agg(F.sum("words").alias("taken"), F.min(F.struct("shard", "place", "start")).alias("at"),
+                  F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts")))
     wanted = parts.join(places, ["no", "start"])
     own = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_tie"),
                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -181,10 +189,11 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, text: str
     part = F.col("taken") < F.col("size")
     worded = F.regexp_extract_all(F.col("row")[text], F.lit(r"[\x20\x09-\x0D]*" + WORD_SQL), F.lit(0))
     # The barrier keeps the list of words from being made again for every part.
-    rows = computed_once(rows.select("row", "parts", "taken", "size", F.when(part, worded).alias("word")))
+    rows = computed_once(rows.select("row", "at", "parts", "taken", "size", F.when(part, worded).alias("word")))
     chosen = F.flatten(F.transform("parts", lambda p: F.slice(F.col("word"), (p["first"] + 1).cast("int"), p["words"].cast("int"))))
-    rows = computed_once(rows.select("row", F.when(part, F.array_join(chosen, "")).alias("cut")))
+    rows = computed_once(rows.select("row", "at", F.when(part, F.array_join(chosen, "")).alias("cut")))
     row = F.col("row").withField(text, F.coalesce("cut", F.col("row")[text]))
     if n_chars in docs.columns:
         row = row.withField(n_chars, F.coalesce(F.length("cut").cast(docs.schema[n_chars].dataType), F.col("row")[n_chars]))
-    return rows.select(row.alias("row")).select("row.*")
+    rows = rows.select(row.alias("row"), "at").repartition(F.col("at.shard")).sortWithinPartitions("at")
+    return rows.select("row.*")

@@ -75,6 +75,39 @@ def test_shards_are_multinomial_draws(spark):
     assert abs(share - 5 / 7) < 0.01 and len({r["0"] for r in shards}) > 3
 
 
+def shard_order(spark, docs):
+    """What the mixture's partitions hold, each in its order."""
+    rows = mixing.mixture(docs).select("doc_id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i")).collect()
+    return [[r.doc_id for r in sorted(rows, key=lambda r: r.i) if r.p == p] for p in sorted({r.p for r in rows})]
+
+
+def test_results_follow_the_draw(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 8)
+    monkeypatch.setattr(mixing, "slots", lambda plan, inner=mixing.slots: inner(plan, 8))
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(words(rng, 700)), "ab"[i % 2], 0, "") for i in range(120)], SCHEMA)
+    got = {r.doc_id: r for r in mixing.mixed(docs).collect()}
+    pieces = mixing.taken_pieces(docs)[2].select("key", "shard", "place").collect()
+    spots = {}
+    for r in pieces:
+        spots.setdefault(r.key, []).append((r.shard, r.place))
+    for doc, r in got.items():
+        mine = spots.get(doc, [])
+        assert r.n_shards == len({s for s, _ in mine})
+        assert (r.first_shard, r.first_place) == (min(mine) if mine else (None, None))
+    orders = shard_order(spark, docs)
+    first = {doc: (r.first_shard, r.first_place) for doc, r in got.items()}
+    single = {doc for doc in spots if sum(d == doc for part in orders for d in part) == 1}
+    for part in orders:  # shards one after the other, each in the order of its places
+        here = [first[d] for d in part if d in single]
+        assert here == sorted(here)
+    drawn = mixing.permuted
+    monkeypatch.setattr(mixing, "permuted", lambda df, value, size, key, **how: df if key == "whole" else drawn(df, value, size, key, **how))
+    without = {r.doc_id: (r.n_shards, r.first_shard, r.first_place) for r in mixing.mixed(docs).collect()}
+    assert without != {d: (r.n_shards, r.first_shard, r.first_place) for d, r in got.items()}
+    assert shard_order(spark, docs) != orders
+
+
 def test_awkward_rows_and_none(spark):
     docs = frame(spark, awkward())
     assert mixing.mixed(docs).count() == len(awkward())
