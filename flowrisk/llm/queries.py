@@ -85,7 +85,8 @@ def op7(spark, sf_dir):
 @query("op8_substring_dedup")
 def op8(spark, sf_dir):
     return (substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
-            .withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept"))
+            .select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+                    F.octet_length("kept").cast("long").alias("n_kept")))
 
 
 @query("op11_decontamination", decontaminate.ORACLE)
