@@ -12,7 +12,8 @@ from flowrisk.plans import fixtures as X
 from flowrisk.plans.oracle import (CTX, EPOCH_US, FLOWS, PACKETS, SNAPSHOTS, context, iso, scored,
                                    with_)
 from flowrisk.plans.registry import query
-from flowrisk.sources.captures import decode_packets, scan_captures
+from flowrisk.session import shared_path
+from flowrisk.sources.captures import decode_packets, read_captures
 from flowrisk.sources.connections import name_processes
 from flowrisk.sources.order import head_rows
 
@@ -141,30 +142,39 @@ _SEEN = """seen AS (SELECT * REPLACE (CASE WHEN protocol = 'TCP' THEN syn ELSE 0
     CASE WHEN protocol = 'TCP' THEN rst ELSE 0 END AS rst) FROM packets)"""
 
 
-def capture_files(spark, d):
-    """Classic PCAP files of about 2,000 packets each, built from the packet view.
+def _little(value, size: int):
+    """Hex text of a number with its least byte first."""
+    text = _hex(value, 2 * size)
+    return F.concat(*[F.substring(text, 2 * i + 1, 2) for i in reversed(range(size))])
 
-    A uniform hash of the packet's unique order columns picks the file, so no file grows with skew.
+
+def capture_files(spark, d, packets_a_file: int = 50_000) -> str:
+    """A folder of classic PCAP files, built from the packet view and written to the shared folder.
+
+    A uniform hash of the packet's unique order columns picks the file, so no file grows with skew. A file is
+    written as text whose lines end in a zero byte, which is the last byte of the file header and of every frame.
     """
     packets = X.packets(spark, d)
-    files = max(1, packets.count() // 2000)
+    files = max(1, packets.count() // packets_a_file)
     frame = F.concat(F.lit(_ETHERNET + "0800"), _ip4_packet())
-    size = _hex(F.length(frame) / 2, 8)
-    record = F.concat(_hex(F.expr("ts_us div 1000000"), 8), _hex(F.col("ts_us") % 1_000_000, 8),
-                      size, size, frame)
+    size = _little(F.length(frame) / 2, 4)
+    record = F.concat(_little(F.expr("ts_us div 1000000"), 4), _little(F.col("ts_us") % 1_000_000, 4), size, size, frame)
+    head = F.lit("d4c3b2a1" "0200" "0400" "00000000" "00000000" "ffff0000" "01000000")
     which = F.pmod(F.xxhash64(*X.PACKET_ORDER), F.lit(files))
-    rows = packets.select(which.alias("f"), F.struct(*X.PACKET_ORDER, record.alias("r")).alias("p"))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["r"]), "")
-    header = F.lit("a1b2c3d4" "0002" "0004" "00000000" "00000000" "0000ffff" "00000001")
-    return rows.groupBy("f").agg(body.alias("body")).select(
-        F.concat(F.lit("capture-"), F.col("f").cast("string"), F.lit(".pcap")).alias("path"),
-        F.unhex(F.concat(header, "body")).alias("content"))
+    lines = packets.select(which.alias("f"), *X.PACKET_ORDER, record.alias("r")).unionByName(
+        spark.range(files).select(F.col("id").alias("f"), head.alias("r")), allowMissingColumns=True)  # nulls come first
+    path = shared_path(spark, "captures")
+    (lines.repartition(files, "f").sortWithinPartitions("f", *X.PACKET_ORDER)
+     .select("f", F.unhex(F.expr("left(r, length(r) - 2)")).cast("string").alias("value"))
+     .write.partitionBy("f").option("lineSep", "\0").text(path))
+    return path
 
 
 @query("capture_scan", with_(PACKETS) + f"""SELECT count(*) AS packets, min(ts_us) AS first_us,
     max(ts_us) AS last_us, CAST(sum(byte_count + 14) AS BIGINT) AS frame_bytes FROM packets""")
 def capture_scan(spark, d):
-    return scan_captures(capture_files(spark, d)).agg(
+    """Files to raw packets, each file read in ranges of 1 MB."""
+    return read_captures(spark, capture_files(spark, d), size=1 << 20).agg(
         F.count(F.lit(1)).alias("packets"), F.min("ts_us").alias("first_us"),
         F.max("ts_us").alias("last_us"), F.sum(F.length("frame")).alias("frame_bytes"))
 
@@ -209,7 +219,7 @@ def pcap_flows(spark, d):
 
     The files are cut by hash, so the packets' order is their time and addresses, not their place.
     """
-    packets = decode_packets(scan_captures(capture_files(spark, d)), ["ts_us"])
+    packets = decode_packets(read_captures(spark, capture_files(spark, d)), ["ts_us"])
     return with_scores(capture_flows(packets, order=_PCAP_ORDER)).select(
         "timestamp", *[c for c in _FLOW.split(", ") if c != "ts_us"], "unique_dst_ports_60s",
         "connections_60s", "failed_connections_60s", F.round("p_risk", 4).alias("risk_score"),

@@ -1,10 +1,12 @@
+import random
 import struct
 
 import pytest
 
 from flowrisk.operators.flows import capture_flows
 from flowrisk.plans.jobs import captures
-from flowrisk.sources.captures import decode_frames, decode_packets, read_captures
+from flowrisk.sources import captures as sources
+from flowrisk.sources.captures import decode_frames, decode_packets, read_captures, scan_captures
 from flowrisk.schema import ALERT
 from flowrisk.sources.flow_csv import read_flow_csv
 from flowrisk.sources.jsonl import read_tolerant
@@ -140,3 +142,74 @@ def test_packet_cap_and_job(spark, tmp_path):
     assert alerts.count() == out["alerts"]
     assert alerts.filter("array_contains(rule_ids, 'PORT_SCAN')").count() == 11
     assert read_flow_csv(spark, str(tmp_path / "flows")).count() == 30
+
+
+def capture_bytes(seed, ng, order="<"):
+    """A capture whose payloads hold captures, runs of zeros and line ends."""
+    rng = random.Random(seed)
+    inner = pcap([eth4(tcp(dport=p)) for p in range(20)], order)
+    frames = []
+    for _ in range(250):
+        payload = rng.choice([rng.randbytes(rng.randint(0, 90)), bytes(rng.randint(0, 300)), inner[24:], inner, b"\n" * 30])
+        frames.append(eth4(tcp() + payload) if rng.random() < .9 else b"")
+    if not ng:
+        return pcap(frames, order, fraction=7)
+    out = b""
+    for part in range(3):  # sections with interfaces of their own
+        out += block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1))
+        for i in range(1 + part):
+            out += block(1, struct.pack("<HHIHHB3xHH", 1, 0, 65535, 9, 1, 6 + i, 0, 0))
+        for i, frame in enumerate(frames[part::3]):
+            if i == 40:
+                out += block(1, struct.pack("<HHIHH", 101, 0, 65535, 0, 0)) + block(5, bytes(8))
+            ticks = (1_700_000_000 + i) * 10 ** 6
+            which = rng.randrange(1 + part + (i >= 40))
+            out += block(6, struct.pack("<IIIII", which, ticks >> 32, ticks & 0xFFFFFFFF, len(frame), len(frame)) + frame)
+    return out
+
+
+@pytest.mark.parametrize("ng, order, size", [(False, "<", 200), (False, ">", 9000), (True, "<", 7000)])
+def test_ranges_equal_the_whole_file(spark, tmp_path, ng, order, size):
+    data = [capture_bytes(seed, ng, order) for seed in (1, 2)] + [pcap([eth4(tcp())]), pcap([])]
+    if size < 500:
+        data = [d[:24] + d[24:3000] for d in data[:1]] + data[2:]
+        data[0] = whole_records(data[0], order)
+    for i, content in enumerate(data):
+        (tmp_path / f"{i} x.cap").write_bytes(content)
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    for cap in (None, 100):
+        want = sorted(map(tuple, scan_captures(files, cap).collect()))
+        assert sorted(map(tuple, read_captures(spark, str(tmp_path), cap, size).collect())) == want
+    assert read_captures(spark, str(tmp_path), None, size).rdd.getNumPartitions() > 2
+
+
+def whole_records(data, order):
+    at = 24
+    while at + 16 <= len(data) and at + 16 + struct.unpack_from(order + "I", data, at + 8)[0] <= len(data):
+        at += 16 + struct.unpack_from(order + "I", data, at + 8)[0]
+    return data[:at]
+
+
+def test_a_false_entry_is_walked_again(spark, tmp_path, monkeypatch):
+    """Every range but the first begins in a place where a look alone goes wrong."""
+    monkeypatch.setattr(sources._Walk, "enter", lambda self, start: setattr(self, "at", start) or True)
+    data = pcap([eth4(tcp(dport=p) + struct.pack("<IIII", 9, 9, 9, 9) * 8) for p in range(60)])
+    (tmp_path / "a.pcap").write_bytes(data)
+    want = sorted(map(tuple, scan_captures(spark.read.format("binaryFile").load(str(tmp_path))).collect()))
+    assert sorted(map(tuple, read_captures(spark, str(tmp_path), None, 3000).collect())) == want
+
+
+@pytest.mark.parametrize("data, problem", [
+    (pcap([eth4(tcp())] * 100)[:-5], "truncated packet"), (pcapng(eth4(tcp())) * 30 + bytes(3), "truncated block"),
+    (pcapng(eth4(tcp())) * 30 + struct.pack("<II", 6, 10) + bytes(900), "bad block length")])
+def test_bad_ranges_fail_where_they_are_read(spark, tmp_path, data, problem):
+    (tmp_path / "x.cap").write_bytes(data)
+    with pytest.raises(Exception, match=problem):
+        read_captures(spark, str(tmp_path / "x.cap"), None, 600).count()
+    assert read_captures(spark, str(tmp_path / "x.cap"), 10, 600).count() == 10
+
+
+def test_a_store_that_python_cannot_open(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "_can_open", lambda path: False)
+    (tmp_path / "x.cap").write_bytes(pcap([eth4(tcp())] * 50))
+    assert read_captures(spark, str(tmp_path / "x.cap"), None, 100).count() == 50
