@@ -9,7 +9,7 @@ from flowrisk.plans.oracle import CTX, FLOWS, SNAPSHOTS, scored, with_
 from flowrisk.plans.q_flows import _CONNECTION, _NEW, _OBSERVED, polled
 from flowrisk.plans.registry import query
 from flowrisk.session import shared_path
-from flowrisk.streaming.monitor import (monitor, open_folder, stream_flow_context,
+from flowrisk.streaming.monitor import (finish_new_connections, monitor, open_folder, stream_flow_context,
                                         stream_new_connections)
 
 SLICES = 3
@@ -41,9 +41,18 @@ def flow_context(spark, d):
         "seq", "connections_60s", "failed_connections_60s", "unique_dst_ports_60s")
 
 
+def _shuffled_slice():
+    """Every seventh poll, and every eleventh of a host's rows, comes one slice late."""
+    late = (F.col("snapshot_no") % 7 == 3) | (F.col("remote_port") % 11 == 5)
+    return F.least(F.expr("snapshot_no div 130") + late.cast("int"), F.lit(SLICES - 1))
+
+
 @query("stream_new_connections", with_(SNAPSHOTS, _NEW) + f"SELECT {_CONNECTION} FROM new")
 def new_rows(spark, d):
-    folder = feed(spark, X.snapshots(spark, d), _poll_slice(), stream_new_connections, "connections")
+    """Polls out of order, and some in parts, all within a delay of 300 polls."""
+    polls = X.snapshots(spark, d)
+    folder = feed(spark, polls, _shuffled_slice(), lambda s, f: stream_new_connections(s, f, delay=300), "connections")
+    finish_new_connections(polls, folder, delay=300)
     return spark.read.parquet(f"{folder}/rows").select(*_CONNECTION.split(", "))
 
 

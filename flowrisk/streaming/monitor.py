@@ -13,7 +13,10 @@ from flowrisk.operators.snapshots import ORDER, PROCESS, as_flows
 from flowrisk.schema import ALERT
 from flowrisk.sources.connections import as_snapshots, parse_connection_json
 from flowrisk.streaming.context import StreamingConnections, StreamingContext
-from flowrisk.streaming.state import run, staged, write_epoch
+from flowrisk.streaming.state import last_epoch, run, staged, write_epoch
+
+#: A host that is silent for a day leaves the monitor's state.
+EXPIRE_US = 24 * 3600 * 1_000_000
 
 
 def open_folder(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -34,15 +37,33 @@ def stream_flow_context(stream: DataFrame, folder: str, keys: list[str], seq: li
     return run(stream, process, f"{folder}/checkpoint", interval)
 
 
-def stream_new_connections(stream: DataFrame, folder: str, interval: str | None = None):
-    connections = StreamingConnections(folder)
+def stream_new_connections(stream: DataFrame, folder: str, interval: str | None = None, time: str = "snapshot_no",
+                           delay: int = 0, expire: int | None = None):
+    """New connections in ``folder/rows`` and rows behind their host's watermark in ``folder/late``.
+
+    Snapshots may come in any order within ``delay``; see StreamingConnections.
+    """
+    connections = StreamingConnections(folder, time=time, delay=delay, expire=expire)
 
     def process(batch: DataFrame, epoch: int) -> None:
-        write_epoch(connections.process(batch, epoch), f"{folder}/rows", epoch)
+        rows, late = connections.process(batch, epoch)
+        write_epoch(rows, f"{folder}/rows", epoch)
+        write_epoch(late, f"{folder}/late", epoch)
 
     return run(stream, process, f"{folder}/checkpoint", interval)
 
 
+def finish_new_connections(like: DataFrame, folder: str, time: str = "snapshot_no", delay: int = 0) -> None:
+    """At the end of a feed: tells what the last ``delay`` still holds, as the epoch after the last one.
+
+    ``like`` has the feed's columns. If the feed goes on after all, its next batch takes that epoch's place.
+    """
+    spark = like.sparkSession
+    epoch = last_epoch(spark, f"{folder}/rows") + 1
+    rows, _ = StreamingConnections(folder, time=time, delay=delay).process(like.limit(0), epoch, close=True)
+    write_epoch(rows, f"{folder}/rows", epoch)
+
+
 def open_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Collected polls: JSON files in folders ``host=.../snapshot_no=.../ts_us=...``."""
     schema = "value string, host string, snapshot_no bigint, ts_us bigint"
@@ -51,20 +72,25 @@ def open_snapshots(spark: SparkSession, path: str) -> DataFrame:
 
 
 def monitor(stream: DataFrame, folder: str, model: LinearModel = BASELINE, threshold: float = 0.60,
-            alerts_only: bool = True, interval: str | None = None):
+            alerts_only: bool = True, interval: str | None = None, delay_us: int = 0,
+            expire_us: int | None = EXPIRE_US):
     """Score every new connection in its process context and append the alerts, in the columns of ALERT
     with alert_id, host and ts_us.
 
     Needs ``ts_us``, the time of the poll, and takes ``process_name``. Connections of a poll share the
-    time, so within a source time follows the snapshot number. Hosts have clocks of their own.
+    time, so within a source time follows the snapshot number. Hosts have clocks of their own. Polls may come in
+    any order within ``delay_us``, and are scored when it is over; later ones go to ``folder/late``. A host that is
+    silent while the feed moves on by ``expire_us`` leaves the state.
     """
-    connections = StreamingConnections(folder)
-    context = StreamingContext(folder, PROCESS, ORDER, check_order=False, clock=["host"])
+    connections = StreamingConnections(folder, time="ts_us", delay=delay_us, expire=expire_us)
+    context = StreamingContext(folder, PROCESS, ORDER, delay_us=0, check_order=False, clock=["host"], expire_us=expire_us)
 
     def process(batch: DataFrame, epoch: int) -> None:
         if "process_name" not in batch.columns:
             batch = batch.withColumn("process_name", F.lit("unknown"))
-        flows = staged(as_flows(connections.process(batch, epoch)), f"{folder}/stage-connections", epoch)
+        news, late = connections.process(batch, epoch)
+        write_epoch(late, f"{folder}/late", epoch)
+        flows = staged(as_flows(news), f"{folder}/stage-connections", epoch)
         rows, _ = context.process(flows, epoch, F.col("failed"))
         rows = rows.withColumnsRenamed({"state": "connection_state"}).withColumn(
             "process_id", F.col("pid").cast("bigint"))

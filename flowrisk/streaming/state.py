@@ -46,6 +46,20 @@ def write_epoch(df: DataFrame, path: str, epoch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch}")
 
 
+def epochs(spark: SparkSession, path: str) -> list[int]:
+    """The epochs that a sink holds, oldest first."""
+    if not path_exists(spark, path):
+        return []
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [status.getPath().getName() for status in found]
+    return sorted(int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch="))
+
+
+def last_epoch(spark: SparkSession, path: str) -> int:
+    return max(epochs(spark, path), default=-1)
+
+
 def run(stream: DataFrame, process, checkpoint: str, interval: str | None = None):
     """Start the query; without an interval it takes what is there and stops."""
     writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)

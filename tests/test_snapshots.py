@@ -11,6 +11,7 @@ from flowrisk.plans import jobs
 from flowrisk.schema import ALERT
 from flowrisk.sources.connections import (name_processes, parse_netstat, read_connections, read_netstat,
                                           read_processes, read_snapshots)
+from flowrisk.streaming.context import StreamingConnections, StreamingContext
 from flowrisk.streaming.monitor import monitor, open_folder, stream_new_connections
 from flowrisk.streaming.state import StateTable
 from tests.conftest import rows
@@ -138,6 +139,77 @@ def test_a_snapshot_in_two_batches(spark, tmp_path):
     assert sorted((r.snapshot_no, r.local_port) for r in got) == [(1, 22), (1, 50025), (2, 50026)]
 
 
+def drive(spark, frame, order, folder, **how):
+    """Feeds the polls of ``frame`` one batch each in the given order; returns (new, late) as (host, poll, pid)."""
+    connections, out = StreamingConnections(folder, **how), ([], [])
+    for epoch, part in enumerate([*order, None]):
+        batch = frame.filter(part) if part else frame.limit(0)
+        for found, part_rows in zip(out, connections.process(batch, epoch, close=part is None)):
+            found += [(r.host, r.snapshot_no, r.pid) for r in part_rows.collect()]
+    return sorted(out[0]), sorted(out[1])
+
+
+def shuffled():
+    return [("a", n, *(SSH if pid == 3 else MAIL)) for n in range(1, 9) for pid in (3, 4) if (n, pid) not in ((2, 3), (6, 4), (7, 4))]
+
+
+@pytest.mark.parametrize("order", [(1, 2, 4, 5, 3, 6, 7, 8), (3, 1, 2, 6, 4, 5, 8, 7), (1, 2, 3, 4, 5, 6, 7, 8)])
+def test_polls_out_of_order_within_the_delay(spark, tmp_path, order):
+    frame = polls(spark, shuffled())
+    want = sorted((r.host, r.snapshot_no, r.pid) for r in new_connections(frame).collect())
+    assert drive(spark, frame, [f"snapshot_no = {n}" for n in order], str(tmp_path / "n"), delay=3) == (want, [])
+    halves = [f"snapshot_no = {n} and pid = {p}" for n, p in [(1, 3), (2, 4), (3, 3), (1, 4), (3, 4), (4, 4), (4, 3)]]
+    got = drive(spark, frame.filter("snapshot_no < 5"), halves, str(tmp_path / "h"), time="ts_us", delay=6_000_000)
+    assert got == ([w for w in want if w[1] < 5], [])
+
+
+def test_polls_behind_the_delay_are_no_news(spark, tmp_path):
+    frame = polls(spark, shuffled())
+    new, late = drive(spark, frame, [f"snapshot_no = {n}" for n in (1, 2, 4, 5, 3, 6, 7, 8)], str(tmp_path / "s"))
+    assert late == [("a", 3, 3), ("a", 3, 4)] and all(n[1] != 3 for n in new)
+
+
+def test_silent_hosts_leave_the_state(spark, tmp_path):
+    frame = polls(spark, [("gone", 1, *SSH), ("gone", 2, *SSH), ("gone", 2, *MAIL)]
+                  + [("a", n, *SSH) for n in range(1, 40)])
+    connections = StreamingConnections(str(tmp_path / "c"), delay=1, expire=10)
+    out = []
+    for epoch, part in enumerate(["snapshot_no < 3", "snapshot_no between 3 and 10", "snapshot_no between 11 and 20", "snapshot_no > 20"]):
+        news, _ = connections.process(frame.filter(part), epoch)
+        out += [(r.host, r.snapshot_no, r.pid) for r in news.collect()]
+        hosts = {r.host for r in connections.state.before(spark, epoch + 1).select("host").distinct().collect() if r.host}
+        assert hosts == ({"a", "gone"} if epoch < 2 else {"a"})
+    assert sorted(out) == [("a", 1, 3), ("gone", 1, 3), ("gone", 2, 4)]
+    assert connections.state.before(spark, 4).count() <= 5
+
+
+def test_context_of_silent_and_late_clocks(spark, tmp_path):
+    flows = spark.createDataFrame([("a", 0, 0, 80), ("gone", 1_000_000, 1, 80), ("a", 50_000_000, 2, 81), ("a", 20_000_000, 3, 82),
+                                   ("a", 400_000_000, 4, 80), ("gone", 2_000_000, 5, 80)], "host string, ts_us bigint, seq bigint, dst_port int")
+    context, failed = StreamingContext(str(tmp_path / "x"), ["host"], ["seq"], check_order=False, clock=["host"],
+                                       delay_us=10_000_000, expire_us=100_000_000), F.lit(False)
+    got, behind = {}, []
+    for epoch in range(6):
+        rows_, late = context.process(flows.filter(F.col("seq") == epoch), epoch, failed)
+        got |= {r.seq: r.connections_60s for r in rows_.collect()}
+        behind += [r.seq for r in late.collect()]
+        if epoch == 4:
+            assert {r.host for r in context.state.before(spark, 5).collect()} == {"a", None}
+    assert got == {0: 1, 1: 1, 2: 2, 4: 1, 5: 1} and behind == [3]
+
+
+def test_monitor_takes_late_polls(spark, tmp_path):
+    frame = polls(spark, swarm())
+    for part in ("snapshot_no in (1, 3)", "snapshot_no in (2, 5)", "snapshot_no in (4, 6, 7)", "snapshot_no = 1"):
+        frame.filter(part).write.mode("append").parquet(str(tmp_path / "in"))
+        monitor(open_folder(spark, str(tmp_path / "in"), frame.schema), str(tmp_path / "run"),
+                alerts_only=False, delay_us=4_000_000).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "run" / "alerts"))
+    want = detections(observations(frame), keep=KEEP).filter("ts_us <= 1650000000000000 + 5 * 2000000")
+    assert rows(got.select(want.columns), "ts_us", "src_port") == rows(want, "ts_us", "src_port")
+    assert spark.read.parquet(str(tmp_path / "run" / "late")).count() == 11
+
+
 def test_missing_state_fails(spark, tmp_path):
     state = StateTable(str(tmp_path / "s"))
     assert state.before(spark, 0) is None
