@@ -6,12 +6,8 @@ NULLs into named rejects or a failed job.
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flowrisk.constants import ATTACK_LABELS, BENIGN_LABELS, DATASET_BENIGN_LABELS
 
@@ -87,37 +83,6 @@ def port(value) -> Column:
     return accept_port(port_number(value))
 
 
-def is_ipv4(value) -> Column:
-    octet = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-    return _col(value).rlike(rf"^{octet}(\.{octet}){{3}}$")
-
-
-def ipv4_number(value) -> Column:
-    """The address as BIGINT, NULL for anything else."""
-    part = F.split(_col(value), r"\.")
-    number4 = sum((F.try_element_at(part, F.lit(i + 1)).try_cast("bigint") * F.lit(256 ** (3 - i))
-                   for i in range(1, 4)),
-                  F.try_element_at(part, F.lit(1)).try_cast("bigint") * F.lit(256 ** 3))
-    return F.when(is_ipv4(value), number4)
-
-
-@F.pandas_udf(T.StringType())
-def _ipv6_text(values: pd.Series) -> pd.Series:
-    def canonical(text):
-        try:
-            return str(ipaddress.IPv6Address(text))
-        except ValueError:
-            return None
-    return values.map(canonical, na_action="ignore")
-
-
-def ip_text(value) -> Column:
-    """Canonical address text. IPv4 stays in the JVM."""
-    text = _col(value)
-    return F.when(is_ipv4(text), text).otherwise(
-        _ipv6_text(F.when(text.contains(":"), text)))
-
-
 def protocol(value) -> Column:
     text = F.lower(strip(value))
     return (F.when(text.isin("6", "6.0"), "TCP").when(text.isin("17", "17.0"), "UDP")

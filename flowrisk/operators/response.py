@@ -2,63 +2,39 @@
 
 from __future__ import annotations
 
-import ipaddress
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from flowrisk.functions.address import address_bits, address_text
 from flowrisk.functions.barrier import computed_once
-from flowrisk.functions.normalize import ip_text, ipv4_number, is_ipv4, iso_text
+from flowrisk.functions.normalize import iso_text
+from flowrisk.sources.allowlist import networks as named_networks
 
 RULE_PREFIX = "flowrisk-block-"
 LOCAL_NETWORKS = ["0.0.0.0/32", "224.0.0.0/4", "127.0.0.0/8", "169.254.0.0/16",
                   "::/128", "ff00::/8", "::1/128", "fe80::/10"]
 
 
-@F.pandas_udf(T.StringType())
-def _ipv6_bits(values: pd.Series) -> pd.Series:
-    def bits(text):
-        try:
-            return format(int(ipaddress.IPv6Address(text)), "0128b")
-        except ValueError:
-            return None
-    return values.map(bits, na_action="ignore")
-
-
-def address_bits(address: str) -> Column:
-    """The address as text of 32 or 128 binary digits; IPv4 stays in the JVM."""
-    text = F.col(address)
-    return F.when(is_ipv4(text), F.lpad(F.bin(ipv4_number(text)), 32, "0")).otherwise(
-        _ipv6_bits(F.when(text.contains(":"), text)))
-
-
-def in_networks(bits: str, networks: list) -> Column:
-    """Whether the address is in a network of its own version: one set lookup per prefix length."""
-    sets: dict[tuple[int, int], list[str]] = {}
-    for net in networks:
-        width = 32 if net.version == 4 else 128
-        head = format(int(net.network_address), f"0{width}b")[:net.prefixlen]
-        sets.setdefault((width, net.prefixlen), []).append(head)
-    tests = [(F.length(bits) == width) & F.substring(F.col(bits), 1, length).isin(heads)
-             if length else F.length(bits) == width
-             for (width, length), heads in sorted(sets.items())]
-    return reduce(lambda a, b: a | b, tests)
-
-
-def cidr_ranges(lines: DataFrame, column: str = "line") -> DataFrame:
-    """IPv4 networks of allowlist lines as numeric ranges: comments, blanks and host bits allowed."""
-    entry = F.btrim(F.element_at(F.split(column, "#"), 1), F.lit(" \t"))
-    parts = F.split("entry", "/")
-    rows = lines.select(entry.alias("entry")).filter("entry != ''").select(
-        "entry", ipv4_number(parts[0]).alias("ip"),
-        F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("32")).try_cast("int").alias("bits"))
-    size = F.pow(F.lit(2.0), 32 - F.col("bits")).cast("bigint")
-    lo = F.col("ip") - F.col("ip") % size
-    return rows.filter("ip is not null and bits between 0 and 32").select(
-        "entry", lo.alias("lo"), (lo + size - 1).alias("hi"))
+def network_matches(addresses: DataFrame, networks: DataFrame, bits: str = "_bits") -> DataFrame:
+    """(bits, length, network and other columns) of every network that holds an address.
+
+    An address meets the networks by its first bits, once for each prefix length that occurs (at most 33 and 129),
+    in one join on (width, head); the tables may be of any size.
+    """
+    lengths = {32: [], 128: []}
+    for width, length in networks.select("width", "length").distinct().collect():
+        lengths[width].append(length)
+    heads = [F.when(F.length(bits) == width, F.transform(F.array(*map(F.lit, sorted(found))), lambda n: F.substring(F.col(bits), F.lit(1), n)))
+             for width, found in lengths.items() if found]
+    probes = (addresses.select(bits).distinct().filter(F.col(bits).isNotNull())
+              .select(bits, F.length(bits).alias("width"), F.explode(F.coalesce(*heads, F.array().cast("array<string>"))).alias("head")))
+    return probes.join(networks, ["width", "head"]).drop("width", "head")
+
+
+def longest_matches(addresses: DataFrame, networks: DataFrame, bits: str = "_bits") -> DataFrame:
+    """(bits, network): the network with the longest prefix that holds the address, if there is one."""
+    best = F.max(F.struct("length", "network")).alias("best")
+    return network_matches(addresses, networks, bits).groupBy(bits).agg(best).select(bits, F.col("best.network").alias("network"))
 
 
 def check_duration(seconds: int) -> None:
@@ -66,18 +42,25 @@ def check_duration(seconds: int) -> None:
         raise ValueError("a block lasts 60 to 86400 seconds")
 
 
-def block_plan(targets: DataFrame, networks: list, duration: int, created_at: Column,
+def _local(spark) -> DataFrame:
+    return named_networks(spark, LOCAL_NETWORKS).withColumn("local", F.lit(True))
+
+
+def _candidates(targets: DataFrame, address: str) -> DataFrame:
+    given = targets.select(F.col(address).alias("given")).distinct()
+    return computed_once(given.withColumns({"remote_address": address_text("given"), "_bits": address_bits("given")}))
+
+
+def block_plan(targets: DataFrame, networks: DataFrame, duration: int, created_at: Column,
                address: str = "src_ip", prefix: str = RULE_PREFIX) -> DataFrame:
     """One row per address that may be blocked, with its rule names and expiry.
 
-    Local, multicast and allowlisted addresses are left out.
+    Local, multicast and allowlisted addresses are left out; ``networks`` is a table of ``sources.allowlist``.
     """
     check_duration(duration)
-    local = [ipaddress.ip_network(n) for n in LOCAL_NETWORKS]
-    candidates = (targets.select(ip_text(address).alias("remote_address")).distinct()
-                  .filter("remote_address is not null")
-                  .withColumn("_bits", address_bits("remote_address")))
-    open_to_block = computed_once(candidates).filter(~in_networks("_bits", [*local, *networks]))
+    closed = networks.unionByName(_local(targets.sparkSession).drop("local"))
+    candidates = _candidates(targets, address).filter("remote_address is not null").select("remote_address", "_bits").distinct()
+    open_to_block = candidates.join(network_matches(candidates, closed).select("_bits").distinct(), "_bits", "left_anti")
     name = F.concat(F.lit(prefix), F.substring(F.sha2("remote_address", 256), 1, 16))
     expires = F.timestamp_micros(F.unix_micros(created_at) + duration * 1_000_000)
     return open_to_block.select(
@@ -88,16 +71,16 @@ def block_plan(targets: DataFrame, networks: list, duration: int, created_at: Co
         F.concat(iso_text(expires), F.lit("+00:00")).alias("expires_at"))
 
 
-def rejected_targets(targets: DataFrame, networks: list, address: str = "src_ip") -> DataFrame:
-    """Addresses that must not be blocked, with the reason."""
-    local = [ipaddress.ip_network(n) for n in LOCAL_NETWORKS]
-    rows = (targets.select(F.col(address).alias("given"), ip_text(address).alias("remote_address"))
-            .distinct().withColumn("_bits", address_bits("remote_address")))
-    rows = computed_once(rows)
-    reason = (F.when(F.col("remote_address").isNull(), "not an address")
-              .when(in_networks("_bits", local), "local or multicast")
-              .when(in_networks("_bits", networks), "allowlisted"))
-    return rows.select("given", reason.alias("reason")).filter("reason is not null")
+def rejected_targets(targets: DataFrame, networks: DataFrame, address: str = "src_ip") -> DataFrame:
+    """Addresses that must not be blocked, with the reason and the longest network that holds them."""
+    rows = _candidates(targets, address)
+    closed = networks.withColumn("local", F.lit(False)).unionByName(_local(targets.sparkSession))
+    held = network_matches(rows, closed).groupBy("_bits").agg(
+        F.max("local").alias("local"), F.max(F.struct("length", "network")).alias("best"))
+    reason = (F.when(F.col("remote_address").isNull(), "not an address").when(F.col("local"), "local or multicast")
+              .when(~F.col("local"), "allowlisted"))
+    return (rows.join(held, "_bits", "left").select("given", reason.alias("reason"), F.col("best.network").alias("network"))
+            .filter("reason is not null"))
 
 
 def new_blocks(plan: DataFrame, active: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from flowrisk.functions.model import LinearModel
 from flowrisk.functions.normalize import strict_label_int
 from flowrisk.functions.scoring import FEATURE_COLUMNS, model_probability, with_features
 from flowrisk.operators.evaluate import calibrate_raw, confusion, model_ranking
-from flowrisk.operators.feedback import feedback_cap, features_type, id_digest, ledger_duplicates
+from flowrisk.operators.feedback import feedback_cap, features_type, id_digest, ledger_duplicates, row_digest
 from flowrisk.operators.iforest import IsolationForest
 from flowrisk.operators.splits import model_split
 from flowrisk.session import shared_dir, stage
@@ -178,6 +178,7 @@ def retrain_with_feedback(base: DataFrame, reviewed: DataFrame, max_fraction: fl
     model.metadata.update({
         "base_training_rows": base_rows, "approved_feedback_rows": count,
         "feedback_fraction": round(count / base_rows, 6),
+        "review_ledger_digest": row_digest(reviewed).first()["digest"],
         "reviewed_alert_ids_digest": id_digest(approved).first()["digest"],
         "training_policy": "explicitly_approved_feedback_only"})
     return model

@@ -17,7 +17,7 @@ from flowrisk.operators.reports import benchmark_report
 from flowrisk.operators.response import block_plan
 from flowrisk.schema import ALERT, PENDING, REVIEWED
 from flowrisk.session import stage
-from flowrisk.sources.allowlist import parse_allowlist, read_allowlist
+from flowrisk.sources.allowlist import default_networks, read_allowlist
 from flowrisk.sources.captures import decode_packets, read_captures
 from flowrisk.sources.datasets import read_dataset
 from flowrisk.sources.flow_csv import read_flow_csv, write_flow_csv
@@ -193,7 +193,7 @@ def plan_blocks(spark: SparkSession, alerts: str, output: str, duration: int, cr
                 allowlist: str | None = None, address: str = "src_ip", overwrite: bool = False) -> int:
     """Alerts and an allowlist file to the table of proposed blocks; returns their number."""
     check_output(alerts, output)
-    networks = read_allowlist(spark, allowlist) if allowlist else parse_allowlist()
+    networks = read_allowlist(spark, allowlist) if allowlist else default_networks(spark)
     targets = read_strict(spark, alerts, ALERT).select(address)
     plan = block_plan(targets, networks, duration, F.to_timestamp(F.lit(created_at)), address)
     seen = Observation()

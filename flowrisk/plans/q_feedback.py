@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import ipaddress
-
 from pyspark.sql import functions as F
 
-from flowrisk.constants import DEFAULT_ALLOWLIST
-from flowrisk.functions.normalize import ipv4_number
+from flowrisk.functions.address import ipv4_number
 from flowrisk.operators import feedback as B
 from flowrisk.operators import response as R
 from flowrisk.operators.training import feedback_cap, training_union
@@ -15,6 +12,9 @@ from flowrisk.plans import fixtures as X
 from flowrisk.plans.oracle import ALERTS, FEATURES, FLOWS, with_
 from flowrisk.plans.q_scoring import alerts, scored
 from flowrisk.plans.registry import query
+from flowrisk.session import shared_path, stage
+from flowrisk.sources.allowlist import allowlist_ranges as ranges_of
+from flowrisk.sources.allowlist import read_allowlist
 
 REVIEWED_AT = "2024-02-01T00:00:00+00:00"
 
@@ -134,12 +134,37 @@ def dedup_last(spark, d):
                           ["src_ip"], "seq")
 
 
+def _number_text(name: str) -> str:
+    """SQL for a double as the shortest decimal text in the layout of Java."""
+    plain = f"CAST({name} AS VARCHAR)"
+    digits = f"ltrim(replace({plain}, '.', ''), '0')"
+    power = (f"CASE WHEN abs({name}) >= 1 THEN length(split_part({plain}, '.', 1)) - 1 "
+             f"ELSE length(ltrim(split_part({plain}, '.', 2), '0')) - length(split_part({plain}, '.', 2)) - 1 END")
+    long = (f"left({digits}, 1) || '.' || coalesce(nullif(rtrim(substr({digits}, 2), '0'), ''), '0') || 'E' || CAST({power} AS VARCHAR)")
+    return f"CASE WHEN {name} <> 0 AND ({name} >= 1e7 OR {name} < 1e-3) THEN {long} ELSE {plain} END"
+
+
+def _field(name: str, text: str) -> str:
+    return f"'{name}=' || strlen({text}) || ':' || {text}"
+
+
+_FEATURE_TEXT = " || ".join(_field(n, f"({_number_text(f'CAST(round(f_{n}, 6) AS DOUBLE)')})") for n in sorted(FEATURES))
+
+
 @query("ledger_digest", with_(*ALERTS, _LEDGER, """g AS (SELECT substr(alert_id, 1, 4) AS p,
     count(*) AS n, sha256(string_agg(alert_id, chr(10) ORDER BY alert_id)) AS h
-  FROM ledger GROUP BY 1)""") + """SELECT CAST(sum(n) AS BIGINT) AS ids,
-    sha256(string_agg(h, chr(10) ORDER BY p)) AS digest FROM g""")
+  FROM ledger GROUP BY 1)""", f"""f AS (SELECT alert_id, CAST(seq AS VARCHAR) AS s, {_FEATURE_TEXT} AS t FROM ledger),
+  leaves AS (SELECT sha256({_field('alert_id', 'alert_id')} || {_field('decision', "'approve'")} || 'features=' || strlen(t) || ':' || t
+    || {_field('seq', 's')} || {_field('training_label', "'0'")}) AS leaf FROM f),
+  counted AS (SELECT leaf, count(*) AS n FROM leaves GROUP BY leaf),
+  h AS (SELECT substr(leaf, 1, 4) AS p, sum(n) AS n, sha256(string_agg(leaf || ':' || CAST(n AS VARCHAR), chr(10) ORDER BY leaf)) AS h
+    FROM counted GROUP BY 1)""") + """SELECT CAST(sum(n) AS BIGINT) AS ids,
+    sha256(string_agg(h, chr(10) ORDER BY p)) AS digest, (SELECT CAST(sum(n) AS BIGINT) FROM h) AS rows,
+    (SELECT sha256(string_agg(h, chr(10) ORDER BY p)) FROM h) AS ledger_digest FROM g""")
 def ledger_digest(spark, d):
-    return B.id_digest(ledger(alerts(spark, d)))
+    """The digests of the ledger's ids and of its rows."""
+    rows = stage(ledger(alerts(spark, d)), "ledger")
+    return B.id_digest(rows).crossJoin(B.row_digest(rows).withColumnRenamed("digest", "ledger_digest"))  # one row each
 
 
 @query("feedback_cap", with_(*ALERTS, _LEDGER) + """SELECT n AS base_rows,
@@ -169,8 +194,11 @@ def feedback_union(spark, d):
 
 # ------------------------------------------------------------------ response tables
 
-def _networks(*more: str) -> list:
-    return [ipaddress.ip_network(n) for n in [*DEFAULT_ALLOWLIST, *more]]
+def allowlist_file(spark, lines):
+    """An allowlist written to the shared folder and read as every job reads one."""
+    path = shared_path(spark, "allowlist")
+    lines.write.text(path)
+    return read_allowlist(spark, path)
 
 
 # Destinations of alerts: 198.51.0.0/18 is allowlisted and covers k < 64; two kinds of local
@@ -189,7 +217,8 @@ def plan(spark, d):
               .when(F.col("seq") % 50 == 1, F.concat(F.lit("224.0.0."), (F.col("seq") % 7).cast("string")))
               .otherwise(F.col("dst_ip")))
     rows = scored(spark, d).filter("is_alert").select(target.alias("ip"))
-    return R.block_plan(rows, _networks("198.51.0.0/18"), 600,
+    office = spark.createDataFrame([("198.51.7.7/18  # office",)], "line string")
+    return R.block_plan(rows, allowlist_file(spark, office), 600,
                         F.lit("2024-02-01 00:00:00").cast("timestamp"), "ip")
 
 
@@ -230,16 +259,43 @@ def expired_blocks(spark, d):
 
 @query("allowlist_ranges", with_(FLOWS, """l AS (SELECT DISTINCT split_part(dst_ip, '.', 3) AS c,
     CAST(split_part(dst_ip, '.', 3) AS BIGINT) AS k FROM flows),
-  x AS (SELECT '198.51.' || c || '.77' || CASE WHEN k % 4 = 0 THEN '' ELSE '/24' END AS entry,
-    CAST(198::BIGINT * 16777216 + 51 * 65536 + k * 256 AS BIGINT) AS base, k FROM l WHERE k % 9 <> 0)""") + """
-  SELECT entry, CASE WHEN k % 4 = 0 THEN base + 77 ELSE base END AS lo,
-    CASE WHEN k % 4 = 0 THEN base + 77 ELSE base + 255 END AS hi FROM x""")
+  x AS (SELECT c, k, 198::BIGINT * 16777216 + 51 * 65536 + k * 256 AS base FROM l WHERE k % 9 <> 0),
+  usual(version, network, lo, hi) AS (VALUES (4, '127.0.0.0/8', '7f000000', '7fffffff'), (4, '10.0.0.0/8', '0a000000', '0affffff'),
+    (4, '172.16.0.0/12', 'ac100000', 'ac1fffff'), (4, '192.168.0.0/16', 'c0a80000', 'c0a8ffff'),
+    (4, '169.254.0.0/16', 'a9fe0000', 'a9feffff'), (6, '::1/128', repeat('0', 31) || '1', repeat('0', 31) || '1'),
+    (6, 'fe80::/10', 'fe8' || repeat('0', 29), 'febf' || repeat('f', 28)), (6, 'fc00::/7', 'fc' || repeat('0', 30), 'fd' || repeat('f', 30)))""") + """
+  SELECT 4 AS version, '198.51.' || c || CASE WHEN k % 4 = 0 THEN '.77/32' ELSE '.0/24' END AS network,
+    lower(printf('%08x', base + CASE WHEN k % 4 = 0 THEN 77 ELSE 0 END)) AS lo,
+    lower(printf('%08x', base + CASE WHEN k % 4 = 0 THEN 77 ELSE 255 END)) AS hi FROM x
+  UNION ALL SELECT 6, '2001:db8:' || printf('%x', k + 1) || '::/48', '20010db8' || printf('%04x', k + 1) || repeat('0', 20),
+    '20010db8' || printf('%04x', k + 1) || repeat('f', 20) FROM x
+  UNION ALL SELECT * FROM usual""")
 def allowlist_ranges(spark, d):
-    """An allowlist text with comments and host bits, one line per destination network."""
+    """An allowlist file with comments, masks and host bits, lines for each destination network of both versions."""
     third = F.split("dst_ip", r"\.")[2]
-    lines = X.flows(spark, d).select(third.alias("c")).distinct().select(
-        F.when(F.col("c").cast("int") % 9 == 0, F.concat(F.lit("  # "), F.col("c"))).otherwise(
-            F.concat(F.lit(" 198.51."), F.col("c"), F.lit(".77"), F.when(
-                F.col("c").cast("int") % 4 == 0, "").otherwise("/24"), F.lit("  # office")))
-        .alias("line"))
-    return R.cidr_ranges(lines)
+    k = F.col("c").cast("int")
+    four = F.concat(F.lit(" 198.51."), F.col("c"), F.lit(".77"), F.when(k % 4 == 0, "").when(k % 4 == 1, "/255.255.255.0")
+                    .otherwise("/24"), F.lit("  # office"))
+    six = F.concat(F.lit("2001:0DB8:"), F.hex(k + 1), F.lit(":0:0:0::7/48"))
+    rows = X.flows(spark, d).select(third.alias("c")).distinct()
+    lines = rows.filter("cast(c as int) % 9 = 0").select(F.concat(F.lit("  # "), F.col("c")).alias("line"))
+    rows = rows.filter("cast(c as int) % 9 <> 0")
+    lines = lines.union(rows.select(four)).union(rows.select(six)).union(rows.select(F.lit("  ")))
+    return ranges_of(allowlist_file(spark, lines))
+
+
+@query("longest_prefix", with_(FLOWS, """t AS (SELECT DISTINCT dst_ip, CAST(split_part(dst_ip, '.', 3) AS BIGINT) AS k,
+    CAST(split_part(dst_ip, '.', 4) AS BIGINT) AS h FROM flows)""") + """
+  SELECT dst_ip, CASE WHEN k % 4 = 0 AND h = 77 THEN dst_ip || '/32'
+    WHEN k % 4 <> 0 AND k % 9 <> 0 AND h // 64 = 1 THEN '198.51.' || k || '.64/26'
+    WHEN k % 9 <> 0 THEN '198.51.' || k || '.0/24' ELSE '198.51.0.0/16' END AS network FROM t""")
+def longest_prefix(spark, d):
+    """Every destination and the longest of the networks that hold it."""
+    flows = X.flows(spark, d)
+    rows = flows.select(F.split("dst_ip", r"\.")[2].alias("c")).distinct()
+    text = lambda tail: F.concat(F.lit("198.51."), F.col("c"), F.lit(tail))
+    lines = (rows.select(F.lit("198.51.9.9/16")).union(rows.filter("cast(c as int) % 4 = 0").select(text(".77")))
+             .union(rows.filter("cast(c as int) % 4 <> 0 and cast(c as int) % 9 <> 0").select(text(".64/26")))
+             .union(rows.filter("cast(c as int) % 9 <> 0").select(text(".3/24"))))
+    seen = flows.select("dst_ip").distinct().withColumn("_bits", R.address_bits("dst_ip"))
+    return seen.join(R.longest_matches(seen, allowlist_file(spark, lines)), "_bits").select("dst_ip", "network")

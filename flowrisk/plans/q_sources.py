@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowrisk.functions.address import address_text
 from flowrisk.constants import FLOW_COLUMNS, UNSW_RAW_COLUMNS
 from flowrisk.functions import normalize as N
 from flowrisk.functions.normalize import us_text
@@ -201,7 +202,7 @@ def ipv4_canonical(spark, d):
     rows = _texts(spark, d, t=_case(
         (0, "'0' || src_ip"), (1, "'256.1.1.1'"), (2, "'10.0.1'"),
         (3, "'2001:0DB8:0:0:0:0:0:' || hex(src_port)"), (4, "'2001:db8:::1'"), other="src_ip"))
-    return rows.select("seq", N.ip_text("t").alias("ip"))
+    return rows.select("seq", address_text("t").alias("ip"))
 
 
 @query("protocol_map", with_(FLOWS, _K) + """SELECT seq, CASE k WHEN 0 THEN 'TCP' WHEN 1 THEN 'TCP'

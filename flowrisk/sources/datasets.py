@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowrisk.functions.address import address_text
 from flowrisk.constants import CICIDS_ALIASES, FLOW_COLUMNS, UNSW_ALIASES, UNSW_RAW_COLUMNS
 from flowrisk.functions import normalize as N
 from flowrisk.functions.barrier import computed_once
@@ -70,7 +71,7 @@ def normalize_cicids(raw: DataFrame, timestamp_format: str | None = None,
 
     parts = {
         "ts_us": F.unix_micros("ts"), "timestamp": N.timestamp_text("t_timestamp", "ts"),
-        "src_ip": N.ip_text("t_src_ip"), "dst_ip": N.ip_text("t_dst_ip"),
+        "src_ip": address_text("t_src_ip"), "dst_ip": address_text("t_dst_ip"),
         "src_port": N.accept_port(F.col("d_src_port")),
         "dst_port": N.accept_port(F.col("d_dst_port")),
         "protocol": N.protocol("t_protocol"),
@@ -102,7 +103,7 @@ def normalize_unsw(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
 
     parts = {
         "ts_us": F.unix_micros("ts"), "timestamp": N.timestamp_text_utc("ts"),
-        "src_ip": N.ip_text("t_src_ip"), "dst_ip": N.ip_text("t_dst_ip"),
+        "src_ip": address_text("t_src_ip"), "dst_ip": address_text("t_dst_ip"),
         "src_port": N.accept_port(F.col("d_src_port")),
         "dst_port": N.accept_port(F.col("d_dst_port")),
         "protocol": N.protocol("t_protocol"),

@@ -91,3 +91,16 @@ def test_tolerant_and_strict_lines(spark, tmp_path):
                  lambda: B.feedback_cap(10, 0.6)):
         with pytest.raises(ValueError):
             call()
+
+
+def test_row_digest_tells_every_change(spark):
+    kind = "id string, n int, f struct<a: double, b: array<string>>"
+    data = [("x", 1, (0.5, ["p", None])), ("y", None, None), ("y", None, None), ("z", 2, (None, []))]
+    digest = lambda rows_, schema=kind: tuple(B.row_digest(spark.createDataFrame(rows_, schema)).first())
+    assert digest(data) == digest(data[::-1]) and digest(data)[0] == 4
+    turned = spark.createDataFrame(data, kind).select("f", "id", "n").repartition(3)
+    assert tuple(B.row_digest(turned).first()) == digest(data)
+    others = [data[:3], data + data[1:2], [("x", 1, (0.5, ["p", ""])), *data[1:]], [("x", 1, (0.5000000001, ["p", None])), *data[1:]],
+              [*data[:3], ("z", 2, (None, None))], [*data[:3], ("z", 2, None)], []]
+    found = [digest(o)[1] for o in [data, *others]]
+    assert len(set(found)) == len(found)
