@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowrisk.functions.barrier import computed_once
 from flowrisk.llm.common import WORD_SQL
@@ -24,10 +25,20 @@ from flowrisk.session import stage
 LEAST_WORDS = 50
 
 
+#: What names a document; none of it is null, so that joins and windows share their exchanges.
+DOC = ["known", "id", "digest"]
+
+
 def named(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(id, digest, row): rows that agree in id and digest are copies of one row; row holds all columns."""
-    return docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("digest"),
-                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    """(known, id, digest, row): rows that agree in the first three are copies of one row; row holds all columns.
+
+    known is 0 and id stands for nothing where the key is null; a key that is no number is taken as text.
+    """
+    kind = docs.schema[key].dataType
+    number = isinstance(kind, T.NumericType)
+    own = F.coalesce(F.col(key), F.lit(0).cast(kind)) if number else F.coalesce(F.col(key).cast("string"), F.lit(""))
+    return docs.select(F.col(key).isNotNull().cast("int").alias("known"), own.alias("id"),
+                       F.xxhash64(text).alias("digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
 def text_of(text: str):
@@ -41,19 +52,19 @@ def lines(rows: DataFrame, least_words: int, text: str) -> DataFrame:
     forward and backward are the lines of the shortest window of ``least_words`` words that starts or ends there;
     0 if the document has too few.
     """
-    each = (rows.select("id", "digest", F.posexplode(F.split(text_of(text), "\n")).alias("line", "s"))
-            .select("id", "digest", "line", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), F.col("s")).alias("h2"),
+    each = (rows.select(*DOC, F.posexplode(F.split(text_of(text), "\n")).alias("line", "s"))
+            .select(*DOC, "line", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), F.col("s")).alias("h2"),
                     F.regexp_count("s", F.lit(WORD_SQL)).alias("w"))
             .where("w > 0"))
     # One exchange on the document serves the removal of copied rows and the windows; a document is one row.
-    each = each.repartition("id", "digest").dropDuplicates(["id", "digest", "line"])
-    doc = Window.partitionBy("id", "digest")
+    each = each.repartition(*DOC).dropDuplicates([*DOC, "line"])
+    doc = Window.partitionBy(*DOC)
     order = doc.orderBy("line")
     each = (each.withColumn("p", F.row_number().over(order) - 1).withColumn("upto", F.sum("w").over(order))
             .withColumn("total", F.sum("w").over(doc)).withColumn("from", F.col("upto") - F.col("w")))
     ahead = F.count(F.lit(1)).over(doc.orderBy("from").rangeBetween(1, least_words - 1)) + 1
     behind = F.count(F.lit(1)).over(doc.orderBy("upto").rangeBetween(1 - least_words, -1)) + 1
-    return each.select("id", "digest", "p", "h1", "h2",
+    return each.select(*DOC, "p", "h1", "h2",
                        F.when(F.col("total") - F.col("from") >= least_words, ahead).otherwise(0).cast("int").alias("forward"),
                        F.when(F.col("upto") >= least_words, behind).otherwise(0).cast("int").alias("backward"))
 
@@ -82,26 +93,24 @@ def ranked_pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def doubled(level: DataFrame, step: int) -> DataFrame:
     """From (id, digest, p, rank) at depth ``step`` to the same at twice the depth."""
-    further = level.select("id", "digest", (F.col("p") - step).alias("p"), F.col("rank").alias("next"))
+    further = level.select(*DOC, (F.col("p") - step).alias("p"), F.col("rank").alias("next"))
     return ranked_pairs(joined(level.withColumnRenamed("rank", "near"), further), "near", "next")
 
 
 def joined(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Inner join on the place of a line; a null id is an id."""
-    right = right.withColumnsRenamed({"id": "_i", "digest": "_d", "p": "_p"})
-    return left.join(right, left["id"].eqNullSafe(right["_i"]) & left["digest"].eqNullSafe(right["_d"])
-                     & (left["p"] == right["_p"])).drop("_i", "_d", "_p")
+    """Inner join on the place of a line."""
+    return left.join(right, [*DOC, "p"])
 
 
 def later_copies(rows: DataFrame) -> DataFrame:
     """(id, digest, p, m): windows of m lines from line p that begin with an equal window earlier in document order."""
     level = stage(ranked_pairs(rows, "h1", "h2"), "level")
-    windows = (level.where("forward > 0").select("id", "digest", "p", F.col("forward").alias("m"))
-               .union(level.where("backward > 0").select("id", "digest", (F.col("p") - F.col("backward") + 1).alias("p"),
+    windows = (level.where("forward > 0").select(*DOC, "p", F.col("forward").alias("m"))
+               .union(level.where("backward > 0").select(*DOC, (F.col("p") - F.col("backward") + 1).alias("p"),
                                                          F.col("backward").alias("m"))))
     windows = stage(windows.distinct(), "windows")
     longest = windows.agg(F.max("m")).first()[0] or 0
-    level, depth = level.select("id", "digest", "p", "rank"), 1
+    level, depth = level.select(*DOC, "p", "rank"), 1
     found = windows.where("false")
     while depth <= longest:
         mine = windows.where((F.col("m") >= depth) & (F.col("m") < 2 * depth))
@@ -109,12 +118,12 @@ def later_copies(rows: DataFrame) -> DataFrame:
         longer = starts.where(F.col("m") > depth).withColumn("p", F.col("p") + F.col("m") - depth)
         both = (starts.where(F.col("m") == depth).withColumn("last", F.col("rank"))
                 .unionByName(joined(longer, level.withColumnRenamed("rank", "last")))
-                .select("m", "rank", "last", F.struct("id", "digest", F.col("start").alias("p")).alias("place")))
+                .select("m", "rank", "last", F.struct(*DOC, F.col("start").alias("p")).alias("place")))
         both = stage(both, "both")
         first = (both.groupBy("m", "rank", "last").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
                  .where("n > 1").drop("n"))
         found = found.union(both.join(first, ["m", "rank", "last"]).where(~F.col("place").eqNullSafe(F.col("first")))
-                            .select("place.id", "place.digest", "place.p", "m"))
+                            .select("place.known", "place.id", "place.digest", "place.p", "m"))
         depth *= 2
         if depth <= longest:
             level = stage(doubled(level, depth // 2), "level")
@@ -131,12 +140,11 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, text: str = "te
     """
     rows = named(docs, text, key)
     copies = later_copies(stage(lines(rows, least_words, text), "lines"))
-    gone = (copies.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"),
-                          F.explode(F.sequence("p", F.col("p") + F.col("m") - 1)).alias("p"))
-            .groupBy("_id", "_digest").agg(F.collect_set("p").alias("gone")))
-    copy = F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.lit(0)))
+    gone = (copies.select(*DOC, F.explode(F.sequence("p", F.col("p") + F.col("m") - 1)).alias("p"))
+            .groupBy(*DOC).agg(F.collect_set("p").alias("gone")))
+    copy = F.row_number().over(Window.partitionBy(*DOC).orderBy(F.lit(0)))
     out = (rows.withColumn("copy", copy)
-           .join(gone, F.col("id").eqNullSafe(F.col("_id")) & F.col("digest").eqNullSafe(F.col("_digest")), "left")
+           .join(gone, DOC, "left")
            .select("row", text_of(text).alias("t"), "copy", "gone", F.split(text_of(text), "\n").alias("line"),
                    F.regexp_count(text_of(text), F.lit(WORD_SQL)).alias("words")))
     # The barriers keep the split lines from being computed again for every element below.
