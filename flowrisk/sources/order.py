@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowrisk.operators.select import kth_smallest
+
 FILE_ORDER = ["written", "file", "file_block", "file_pos"]
 
 
@@ -20,7 +22,32 @@ def with_file_order(df: DataFrame) -> DataFrame:
 
 
 def head_rows(df: DataFrame, rows: int, order: list[str] = FILE_ORDER) -> DataFrame:
-    """The first ``rows`` rows in file order: the row cap for safe trials."""
+    """The first ``rows`` rows in file order: the row cap for safe trials.
+
+    ``order`` tells rows apart; its last column is a number, those before it name a split of a file. Splits are
+    counted, the one that crosses the cap is found among the counts, and the number of the last row in there. What
+    is left is a filter, so any cap keeps the parallelism of the read.
+    """
     if rows <= 0:
         raise ValueError("the row cap must be positive")
-    return df.orderBy(*order).limit(rows)
+    *split, number = order
+    inside, need = df, rows
+    if split:
+        along = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+        counts = df.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"))
+        cut = (counts.withColumn("_before", F.coalesce(F.sum("_n").over(along), F.lit(0)))
+               .filter(F.col("_before") + F.col("_n") > rows).orderBy("_before").first())
+        if cut is None:
+            return df
+        need = rows - cut["_before"]
+        for name in split:
+            inside = inside.filter(F.col(name).eqNullSafe(F.lit(cut[name])))
+        if need == 0:
+            return df.filter(F.struct(*split) < F.struct(*[F.lit(cut[name]) for name in split]))
+        values = [cut[name] for name in split]
+    else:
+        if df.count() <= rows:
+            return df
+        values = []
+    values.append(kth_smallest(inside, number, need))
+    return df.filter(F.struct(*order) <= F.struct(*[F.lit(v).cast(dict(df.dtypes)[name]) for name, v in zip(order, values)]))

@@ -10,6 +10,7 @@ from flowrisk.operators.splits import chronological_split
 from flowrisk.plans import jobs
 from flowrisk.sources.datasets import read_dataset, read_dataset_with_rejects
 from flowrisk.sources.flow_csv import read_flow_csv
+from flowrisk.sources.order import FILE_ORDER, head_rows, with_file_order
 from tests.conftest import SAMPLE, rows
 
 FORMAT = "%d.%m.%Y %H:%M:%S"
@@ -142,3 +143,16 @@ def test_strptime_formats():
     assert spark_pattern("%Y-%m-%dT%H") == "yyyy-M-d'T'H"
     with pytest.raises(ValueError):
         spark_pattern("%j")
+
+
+def test_the_cap_is_a_cut(spark, tmp_path):
+    for part in range(4):
+        spark.range(part * 100, part * 100 + [30, 1, 50, 7][part]).selectExpr("cast(id as string)").repartition(1).write.mode("append").text(str(tmp_path))
+    lines = with_file_order(spark.read.text(str(tmp_path)))
+    everything = [r.value for r in lines.orderBy(*FILE_ORDER).collect()]
+    for rows_ in (1, 29, 30, 31, 32, 60, 81, 87, 88, 500):
+        got = head_rows(lines, rows_)
+        assert [r.value for r in got.orderBy(*FILE_ORDER).collect()] == everything[:rows_]
+    assert "Limit" not in head_rows(lines, 40)._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="positive"):
+        head_rows(lines, 0)
