@@ -19,9 +19,13 @@ from flowrisk.session import shared_dir
 CELL_LIMIT = 4_000_000
 
 
+def minute(time: str) -> Column:
+    return F.expr(f"({time} - pmod({time}, 60000000)) div 60000000")
+
+
 def _digits(time: str, ties: list[str]) -> list[tuple[str, Column]]:
     """Cell numbers, coarse to fine. Each one refines the last and follows the row order."""
-    digits = [F.expr(f"{time} div 60000000"), F.expr(f"{time} div 1000"), F.col(time)]
+    digits = [minute(time), F.expr(f"{time} div 1000"), F.col(time)]
     digits += [F.expr(tie) for tie in ties]
     return [(f"_d{i}", digit) for i, digit in enumerate(digits)]
 
@@ -73,21 +77,23 @@ def _offsets(cells: DataFrame, group: list[str], used: list[str], measures: list
 
 def running_sums(events: DataFrame, group: list[str], time: str, order: list[str],
                  measures: list[str], ties: list[str] = (), limit: int = CELL_LIMIT,
-                 split: bool = True) -> DataFrame:
+                 totals: DataFrame | None = None) -> DataFrame:
     """Replace each measure by its running total within ``group`` along ``order``.
 
     ``order`` must start with ``time``. ``ties`` are expressions that number blocks of rows with
-    equal time, coarse to fine and in row order; rows where they are NULL come first. ``split=False`` states that
-    no minute of a group exceeds the limit.
+    equal time, coarse to fine and in row order; rows where they are NULL come first. ``totals`` are the sums of each
+    group's ``minute``, if they are known already; giving them states that no minute exceeds the limit.
     """
-    if split:
+    if totals is None:
         cells, used = assign_cells(events, group, time, ties, limit)
+        starts = _offsets(cells, group, used, measures)
     else:
-        name, digit = _digits(time, ties)[0]
-        cells, used = events.withColumn(name, digit), [name]
-    rows = cells.withColumn("_start", F.lit(0)).unionByName(
-        _offsets(cells, group, used, measures).withColumn("_start", F.lit(1)),
-        allowMissingColumns=True)
+        used = ["_d0"]
+        cells = events.withColumn("_d0", minute(time))
+        before = Window.partitionBy(*group).orderBy("_d0").rowsBetween(Window.unboundedPreceding, -1)
+        starts = totals.withColumnRenamed("minute", "_d0").select(
+            *group, "_d0", *[F.coalesce(F.sum(m).over(before), F.lit(0)).cast("bigint").alias(m) for m in measures])
+    rows = cells.withColumn("_start", F.lit(0)).unionByName(starts.withColumn("_start", F.lit(1)), allowMissingColumns=True)
     upto = (Window.partitionBy(*group, *used).orderBy(F.desc("_start"), *order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (rows.select("*", *[F.sum(m).over(upto).alias(f"_sum_{m}") for m in measures])

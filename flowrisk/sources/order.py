@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowrisk.operators.select import kth_smallest
@@ -31,10 +31,14 @@ def head_rows(df: DataFrame, rows: int, order: list[str] = FILE_ORDER) -> DataFr
     if rows <= 0:
         raise ValueError("the row cap must be positive")
     *split, number = order
-    inside, need = df, rows
+    kinds, inside, need = dict(df.dtypes), df, rows
+
+    def place(values: list) -> Column:
+        return F.struct(*[F.lit(v).cast(kinds[name]).alias(name) for name, v in zip(order, values)])
+
     if split:
         along = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)  # one row a split
-        counts = df.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"))
+        counts = df.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"), F.min(number).alias("_first"), F.max(number).alias("_last"))
         cut = (counts.withColumn("_before", F.coalesce(F.sum("_n").over(along), F.lit(0)))
                .filter(F.col("_before") + F.col("_n") > rows).orderBy("_before").first())
         if cut is None:
@@ -43,11 +47,14 @@ def head_rows(df: DataFrame, rows: int, order: list[str] = FILE_ORDER) -> DataFr
         for name in split:
             inside = inside.filter(F.col(name).eqNullSafe(F.lit(cut[name])))
         if need == 0:
-            return df.filter(F.struct(*split) < F.struct(*[F.lit(cut[name]) for name in split]))
+            return df.filter(F.struct(*split) < place([cut[name] for name in split]))
         values = [cut[name] for name in split]
+        if cut["_last"] - cut["_first"] + 1 == cut["_n"]:  # no gaps: the number follows from the first one
+            values.append(cut["_first"] + need - 1)
     else:
         if df.count() <= rows:
             return df
         values = []
-    values.append(kth_smallest(inside, number, need))
-    return df.filter(F.struct(*order) <= F.struct(*[F.lit(v).cast(dict(df.dtypes)[name]) for name, v in zip(order, values)]))
+    if len(values) < len(order):
+        values.append(kth_smallest(inside, number, need))
+    return df.filter(F.struct(*order) <= place(values))
