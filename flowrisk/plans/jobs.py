@@ -25,6 +25,7 @@ from flowrisk.sources.jsonl import (append_jsonl, check_output, path_exists, rea
                                     read_tolerant, write_jsonl)
 from flowrisk.sources.order import FILE_ORDER
 from flowrisk.streaming.monitor import monitor, open_snapshots
+from flowrisk.streaming.state import epochs, newest_epochs
 
 
 def _mode(overwrite: bool) -> str:
@@ -173,10 +174,14 @@ def alert_view(spark: SparkSession, alerts: str, pending: str | None = None, sev
                query: str = "", limit: int = 500) -> tuple[DataFrame, int]:
     """(newest matching alerts with their feedback flag, skipped lines).
 
-    ``alerts`` are JSON lines, newest file last, or the monitor's table, newest batch last.
+    ``alerts`` are JSON lines, newest file last, or the monitor's table, newest batch last. Of the table only as many
+    of the newest epochs are read as hold ``limit`` matching alerts.
     """
-    if path_exists(spark, f"{alerts.rstrip('/')}/epoch=0"):
-        good, order, skipped = spark.read.parquet(alerts), ["epoch", "ts_us", "alert_id"], 0
+    if epochs(spark, alerts):
+        def enough(rows: DataFrame) -> bool:
+            return B.search_alerts(rows, severity, query).limit(limit).count() == limit
+
+        good, order, skipped = newest_epochs(spark, alerts, enough), ["epoch", "ts_us", "alert_id"], 0
     else:
         order = FILE_ORDER
         rows = read_tolerant(spark, alerts, ALERT, keep=FILE_ORDER)

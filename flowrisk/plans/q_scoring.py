@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from flowrisk.constants import FEATURE_NAMES
 from flowrisk.functions import scoring as S
-from flowrisk.functions.model import BASELINE
+from flowrisk.functions.model import BASELINE, LinearModel, load_model, save_model
 from flowrisk.functions.normalize import us_text
 from flowrisk.operators import feedback as B
 from flowrisk.plans import fixtures as X
 from flowrisk.plans.oracle import ALERTS, CTX, FLOWS, SCORED, features, with_
 from flowrisk.plans.registry import query
-from flowrisk.session import stage
+from flowrisk.session import shared_path, stage
 
 _F = ", ".join(f"round(f_{n}, 6) AS f_{n}" for n in FEATURE_NAMES)
 _TOPS = ", ".join(f"_top[{i}].n AS top{i}_name, _top[{i}].v AS top{i}_value, "
@@ -153,23 +153,16 @@ def expectation_audit(spark, d):
        """SELECT label, round(a, 6) AS mean_duration, round(b, 6) AS mean_packets,
           round(greatest(c, 1e-9), 6) AS scale_duration FROM m""")
 def model_table(spark, d):
-    """One model record per label, written as JSON text and read back with its fixed schema."""
-    from flowrisk.functions.model import MODEL_SCHEMA
-    stats = X.flows(spark, d).groupBy("label").agg(
-        F.avg("duration_ms").alias("a"), F.avg("packets").alias("b"),
-        F.stddev_pop("duration_ms").alias("c"))
-    rest = [F.lit(float(v)) for v in BASELINE.means[2:]]
-    text = stats.select("label", F.to_json(F.struct(
-        F.array(*[F.lit(n) for n in FEATURE_NAMES]).alias("feature_names"),
-        F.array(F.col("a"), F.col("b"), *rest).alias("means"),
-        F.array(F.col("c"), *[F.lit(1.0)] * 9).alias("scales"),
-        F.array(*[F.lit(w) for w in BASELINE.weights]).alias("weights"),
-        F.lit(BASELINE.bias).alias("bias"))).alias("text"))
-    model = F.from_json("text", MODEL_SCHEMA)
-    return text.select("label", model.alias("m")).select(
-        "label", F.round(F.col("m.means")[0], 6).alias("mean_duration"),
-        F.round(F.col("m.means")[1], 6).alias("mean_packets"),
-        F.round(F.greatest(F.col("m.scales")[0], F.lit(1e-9)), 6).alias("scale_duration"))
+    """A model for each of the two labels, fitted to its mean flow, saved to a file and loaded again."""
+    means = X.flows(spark, d).groupBy("label").agg(
+        F.avg("duration_ms").alias("a"), F.avg("packets").alias("b"), F.stddev_pop("duration_ms").alias("c"))
+    out = []
+    for r in means.collect():  # benign and attack
+        path = shared_path(spark, "model")
+        save_model(spark, LinearModel([r.a, r.b, *BASELINE.means[2:]], [r.c, *[1.0] * 9], BASELINE.weights, BASELINE.bias), path)
+        model = load_model(spark, path)
+        out.append((r.label, round(model.means[0], 6), round(model.means[1], 6), round(model.scales[0], 6)))
+    return spark.createDataFrame(out, "label string, mean_duration double, mean_packets double, scale_duration double")
 
 
 @query("analyze", with_(*SCORED) + """SELECT severity, count(*) AS alerts,

@@ -13,10 +13,12 @@ from flowrisk.operators.snapshots import ORDER, PROCESS, as_flows
 from flowrisk.schema import ALERT
 from flowrisk.sources.connections import as_snapshots, parse_connection_json
 from flowrisk.streaming.context import StreamingConnections, StreamingContext
-from flowrisk.streaming.state import last_epoch, run, staged, write_epoch
+from flowrisk.streaming.state import compact_epochs, last_epoch, run, staged, write_epoch
 
 #: A host that is silent for a day leaves the monitor's state.
 EXPIRE_US = 24 * 3600 * 1_000_000
+#: Epochs after which the monitor's sinks are put into fewer folders.
+COMPACT_EVERY = 128
 
 
 def open_folder(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -100,5 +102,8 @@ def monitor(stream: DataFrame, folder: str, model: LinearModel = BASELINE, thres
             scored = scored.filter("is_alert")
         scored = scored.withColumn("alert_id", alert_id())
         write_epoch(scored.select("host", "ts_us", "alert_id", *ALERT.names), f"{folder}/alerts", epoch)
+        if epoch % COMPACT_EVERY == COMPACT_EVERY - 1:
+            for sink in ("alerts", "late"):
+                compact_epochs(batch.sparkSession, f"{folder}/{sink}")
 
     return run(stream, process, f"{folder}/checkpoint", interval)

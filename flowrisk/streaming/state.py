@@ -60,6 +60,52 @@ def last_epoch(spark: SparkSession, path: str) -> int:
     return max(epochs(spark, path), default=-1)
 
 
+def newest_epochs(spark: SparkSession, path: str, enough, first: int = 8) -> DataFrame:
+    """The newest epochs of a sink, as many as it takes until ``enough`` says so of the rows: 8, then 16, 32 ..."""
+    found = epochs(spark, path)
+    while True:
+        some = [f"{path.rstrip('/')}/epoch={e}" for e in found[-first:]]
+        rows = spark.read.option("basePath", path).parquet(*some)
+        if first >= len(found) or enough(rows):
+            return rows
+        first *= 2
+
+
+def compact_epochs(spark: SparkSession, path: str, keep: int = 16) -> None:
+    """Puts all epochs but the newest ``keep`` into the folder of the last of them, in few files.
+
+    The merged table is complete before anything is deleted, and a run that was cut short is finished by the next one.
+    Their rows then stand in time order under that epoch's number.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    folder = hadoop(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def finish() -> None:
+        for status in files.listStatus(folder):
+            name = status.getPath().getName()
+            if not name.startswith("_merged-"):
+                continue
+            if not files.exists(hadoop(f"{path}/{name}/_SUCCESS")):
+                files.delete(status.getPath(), True)
+                continue
+            first, last = map(int, name.split("-")[1:])
+            for e in epochs(spark, path):
+                if first <= e <= last:
+                    files.delete(hadoop(f"{path}/epoch={e}"), True)
+            if not files.rename(status.getPath(), hadoop(f"{path}/epoch={last}")):
+                raise OSError(f"{path}/{name} is complete but could not be renamed")
+
+    path = path.rstrip("/")
+    finish()
+    old = epochs(spark, path)[:-keep]
+    if len(old) > 1:
+        rows = spark.read.parquet(*[f"{path}/epoch={e}" for e in old])
+        size = sum(files.getContentSummary(hadoop(f"{path}/epoch={e}")).getLength() for e in old)
+        rows.coalesce(max(1, int(size >> 28))).write.mode("overwrite").parquet(f"{path}/_merged-{old[0]}-{old[-1]}")
+        finish()
+
+
 def run(stream: DataFrame, process, checkpoint: str, interval: str | None = None):
     """Start the query; without an interval it takes what is there and stops."""
     writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)

@@ -13,7 +13,7 @@ from flowrisk.sources.connections import (name_processes, parse_netstat, read_co
                                           read_processes, read_snapshots)
 from flowrisk.streaming.context import StreamingConnections, StreamingContext
 from flowrisk.streaming.monitor import monitor, open_folder, stream_new_connections
-from flowrisk.streaming.state import StateTable
+from flowrisk.streaming.state import StateTable, compact_epochs, epochs, newest_epochs, write_epoch
 from tests.conftest import rows
 
 POLL = ("host string, snapshot_no bigint, local_address string, local_port int, "
@@ -231,3 +231,27 @@ def test_from_collected_files_to_the_alert_view(spark, tmp_path):
     assert skipped == 0 and len(shown) == 5
     assert {(r.process_id, r.process_name, r.connection_state, r.host, r.epoch) for r in shown} == {
         (31, "Updater", "Closed", "desk", 2)}
+
+
+def test_the_view_reads_the_newest_epochs_and_old_ones_are_compacted(spark, tmp_path):
+    folder = str(tmp_path / "alerts")
+    one = detections(observations(polls(spark, swarm()[:4])), keep=KEEP).limit(2).withColumns(
+        {c: F.lit(None).cast(t.dataType) for c, t in ((f.name, f) for f in ALERT.fields) if c not in (*KEEP,)}).withColumn("alert_id", F.lit("0" * 16))
+    one = spark.createDataFrame(one.collect(), one.schema).withColumn("severity", F.lit("high")).cache()
+    for epoch in range(40):
+        write_epoch(one.withColumn("ts_us", F.lit(epoch).cast("bigint")), folder, epoch)
+    view, _ = jobs.alert_view(spark, folder, limit=5)
+    assert sorted(r.epoch for r in view.collect()) == [37, 38, 38, 39, 39]
+    assert len({f.split("epoch=")[1].split("/")[0] for f in newest_epochs(spark, folder, lambda rows_: rows_.count() >= 5).inputFiles()}) == 8
+    before = sorted(r.ts_us for r in spark.read.parquet(folder).collect())
+    compact_epochs(spark, folder)
+    assert epochs(spark, folder) == [23, *range(24, 40)]
+    assert sorted(r.ts_us for r in spark.read.parquet(folder).collect()) == before
+    view, _ = jobs.alert_view(spark, folder, limit=78)
+    assert min(r.ts_us for r in view.collect()) == 1
+    # A run that ended between deleting and renaming is finished, one that ended before is undone.
+    (tmp_path / "alerts" / "epoch=23").rename(tmp_path / "alerts" / "_merged-0-23")
+    (tmp_path / "alerts" / "_merged-24-30").mkdir()
+    compact_epochs(spark, folder)
+    assert epochs(spark, folder) == [23, *range(24, 40)] and not list((tmp_path / "alerts").glob("_merged*"))
+    assert sorted(r.ts_us for r in spark.read.parquet(folder).collect()) == before
