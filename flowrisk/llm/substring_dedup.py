@@ -212,15 +212,16 @@ def with_bytes(places: DataFrame, docs: DataFrame, length: int, gram: int, every
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = LIMIT) -> DataFrame:
     """(id, digest, start, end): bytes to remove, overlapping, of documents (id, digest, t)."""
     found = stage(find_anchors(docs, length, gram), "anchors")
-    grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # Counts are written before they are joined: only a join of two plain shuffles is split at a hot gram.
+    grams = stage(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
     shared = stage(found.join(grams, "gram"), "shared")
     place = F.struct("id", "digest", "at", "size")
     contexts = stage(shared.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place")), "contexts")
     around = [F.greatest(F.col("at") - (length - gram), F.lit(0)).alias("start"), F.least(F.col("at") + length, "size").alias("end")]
     whole = (shared.join(contexts.where("n > 1").select("gram", "context"), ["gram", "context"])
              .select("id", "digest", *around))
-    groups = (contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
-              .where("kinds > 1 and least = 1").select("gram", "kinds"))
+    groups = stage(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
+                   .where("kinds > 1 and least = 1").select("gram", "kinds"), "groups")
     members = stage(contexts.join(groups, "gram").select(F.col("gram").alias("group"), "kinds", "place.*"), "members")
     small = with_bytes(members.where(F.col("kinds") <= limit).select("group", "id", "digest", "at", "size"), docs, length, gram)
     sort = small.repartition("group").sortWithinPartitions("group")
