@@ -51,27 +51,32 @@ def threshold_search(query: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.
     seen[own] = True
     rows, scores = np.zeros(0, np.int64), np.zeros(0)
     dims = np.flatnonzero(query)
-    # Entry t of a dimension's list from the end that the sign favours, times the query's component.
-    bound = np.zeros(n)
-    lists = np.empty((len(dims), n), np.int64)
-    for i, d in enumerate(dims):
-        lists[i] = down[d] if query[d] > 0 else down[d][::-1]
-        bound += x[lists[i], d] * query[d]
-    depth, start = 0, 16
-    while depth < n:
+    up, low = dims[query[dims] > 0], dims[query[dims] < 0]  # lists read from their large and from their small end
+
+    def bound(t: int) -> float:
+        """The most that a vector can score whose entries all stand at depth t or deeper."""
+        return float(x[down[up, t], up] @ query[up] + x[down[low, n - 1 - t], low] @ query[low])
+
+    depth, start, left = 0, 16, n - len(own)
+    while depth < n and left:
         end = min(n, start)
         if len(rows) >= k:
-            reach = int(np.searchsorted(-bound, -scores[-1], side="right"))  # first entry strictly below the k-th
-            if reach <= depth:
+            first, beyond = depth, n  # the first depth whose bound is strictly below the k-th score
+            while first < beyond:
+                t = (first + beyond) // 2
+                first, beyond = (first, t) if bound(t) < scores[-1] else (t + 1, beyond)
+            if first <= depth:
                 break
-            end = min(end, reach)
+            end = min(end, first)
         met = np.zeros(n, bool)
         if len(dims):
-            met[lists[:, depth:end].ravel()] = True
+            met[down[up, depth:end]] = True
+            met[down[low, n - end:n - depth]] = True
         else:
             met[:] = True
         fresh = np.flatnonzero(met & ~seen)
         seen[fresh] = True
+        left -= len(fresh)
         rows, scores = np.append(rows, fresh), np.append(scores, x[fresh] @ query)
         best = np.lexsort((ids[rows], -scores))[:k]
         rows, scores = rows[best], scores[best]
