@@ -175,7 +175,8 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, text: str
     A pass that takes a document whole leaves its text as it is; else the text is the taken words with the white
     space before each, and ``n_chars``, if there is one, is its length.
     """
-    placed, _, pieces = taken_pieces(docs, weights, most, text=text, source=source, key=key)
+    placed, plan, pieces = taken_pieces(docs, weights, most, text=text, source=source, key=key)
+    shards = plan.agg(F.ceil(F.sum(F.col("passes") * F.col("blocks") + F.col("more")) / SHARD)).first()[0] or 1
     copy = Window.partitionBy("key", "tie").orderBy("start")
     places = placed.where("size > 0").select("no", "start", "key", "tie", "size", F.row_number().over(copy).alias("copy"))
     parts = (pieces.groupBy("no", "start", "pass")
@@ -195,5 +196,5 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, text: str
     row = F.col("row").withField(text, F.coalesce("cut", F.col("row")[text]))
     if n_chars in docs.columns:
         row = row.withField(n_chars, F.coalesce(F.length("cut").cast(docs.schema[n_chars].dataType), F.col("row")[n_chars]))
-    rows = rows.select(row.alias("row"), "at").repartition(F.col("at.shard")).sortWithinPartitions("at")
+    rows = rows.select(row.alias("row"), "at").repartition(int(min(shards, 100_000)), F.col("at.shard")).sortWithinPartitions("at")
     return rows.select("row.*")
