@@ -59,7 +59,7 @@ def check_output(source: str, target: str) -> None:
 
 def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Refuses an existing path unless told otherwise. The new table is written beside the old one and
-    takes its place when it is complete, so a failed job leaves the old one."""
+    takes its place when it is complete, so a failed job leaves the old one, here or set aside."""
     spark = df.sparkSession
     if not overwrite or not path_exists(spark, path):
         df.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
@@ -68,9 +68,10 @@ def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.option("ignoreNullFields", False).json(beside)
     old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, beside))
     files = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(old, True)
-    if not files.rename(new, old):
-        raise OSError(f"{beside} is complete but could not be renamed to {path}")
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{beside}.old")
+    if not files.rename(old, aside) or not files.rename(new, old):
+        raise OSError(f"{beside} is complete but could not be renamed to {path}; the old table is there or in {aside}")
+    files.delete(aside, True)
 
 
 def append_jsonl(df: DataFrame, path: str, key: str) -> None:
