@@ -104,10 +104,10 @@ def benchmark(spark: SparkSession, source: str, output: str, model: LinearModel
 
 def compare_models(spark: SparkSession, source: str, output: str, train_fraction: float = 0.5,
                    calibration_fraction: float = 0.2, target_fpr: float = 0.01, seed: int = 42,
-                   rounds: int = 100, overwrite: bool = False) -> DataFrame:
+                   rounds: int = 100, leafwise: bool = False, overwrite: bool = False) -> DataFrame:
     check_output(source, output)
     report = T.compare_models(stage(read_flow_csv(spark, source), "flows"), train_fraction,
-                              calibration_fraction, target_fpr, seed, rounds)
+                              calibration_fraction, target_fpr, seed, rounds, leafwise)
     report.write.mode(_mode(overwrite)).json(output)
     return report
 

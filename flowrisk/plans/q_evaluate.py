@@ -257,6 +257,12 @@ def train_gbt(spark, d):
     return _confusion_at(T.score_trees(T.train_trees(rows), rows), 0.5)
 
 
+@query("train_leafwise")
+def train_leafwise(spark, d):
+    rows = training_rows(spark, d)
+    return _confusion_at(T.train_leafwise(rows).score(rows), 0.5)
+
+
 @query("train_iforest")
 def train_iforest(spark, d):
     from flowrisk.operators.iforest import IsolationForest

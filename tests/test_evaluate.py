@@ -123,6 +123,13 @@ def test_model_comparison(spark):
     assert sorted(r.rank for r in found.values()) == [1, 2, 3]
 
 
+def test_leafwise_trees_in_the_comparison(spark):
+    found = {r.name: r for r in T.compare_models(flows(spark, 60, 60_000_000), target_fpr=0.0, rounds=5,
+                                                 leafwise=True).collect()}
+    r = found["boosted_trees"]
+    assert (r.true_positive, r.false_positive, r.true_negative, r.false_negative) == (9, 0, 9, 0)
+
+
 def test_training_checks(spark):
     rows = T.labelled_features(flows(spark, 10, 1))
     with pytest.raises(ValueError, match="at least 4"):
