@@ -304,14 +304,14 @@ def label_to_int(spark, d):
 _CONN = "local_address, local_port, remote_address, remote_port, state, owning_process, process_name"
 
 
-@query("snapshot_scan", with_(SNAPSHOTS) + """SELECT host, snapshot_no % 8 AS part, local_address,
+@query("snapshot_scan", with_(SNAPSHOTS) + """SELECT host, snapshot_no, local_address,
     CAST(local_port AS BIGINT) AS local_port, remote_address, CAST(remote_port AS BIGINT) AS remote_port,
     CASE WHEN pid % 4 = 0 THEN 'Unknown' ELSE state END AS state,
     CAST(CASE WHEN pid % 4 = 0 THEN 0 ELSE pid END AS BIGINT) AS owning_process,
     CASE WHEN pid % 2 = 0 THEN 'unknown' ELSE 'p' || CAST(pid AS VARCHAR) END AS process_name
   FROM snapshots""")
 def snapshot_scan(spark, d):
-    """Files with a JSON array each: connections, with some keys missing or empty and some ports as text,
+    """A file per host and poll, each a JSON array: connections, with some keys missing or empty and some ports as text,
     a listening socket, and elements that are no objects."""
     known = F.col("pid") % 4 != 0
     connection = F.struct(
@@ -322,13 +322,13 @@ def snapshot_scan(spark, d):
             F.concat(F.lit("p"), F.col("pid").cast("string"))).alias("process_name"))
     text = F.when(known, F.to_json(connection)).otherwise(
         F.to_json(connection.withField("remote_port", F.col("remote_port"))))
-    rows = X.snapshots(spark, d).select("host", (F.col("snapshot_no") % 8).alias("part"), text.alias("t"))
-    files = rows.groupBy("host", "part").agg(F.concat(
+    rows = X.snapshots(spark, d).select("host", "snapshot_no", text.alias("t"))
+    files = rows.groupBy("host", "snapshot_no").agg(F.concat(
         F.lit('\ufeff[{"remote_port":0,"local_port":135},7,"x",'), F.array_join(F.collect_list("t"), ","),
         F.lit("]")).alias("value"))
     folder = shared_path(spark, "snapshots")
-    files.repartition("host", "part").write.partitionBy("host", "part").option("lineSep", " ").text(folder)
-    return C.read_connections(spark, folder).drop("file").withColumn("part", F.col("part").cast("bigint"))
+    files.write.partitionBy("host", "snapshot_no").option("lineSep", " ").text(folder)
+    return C.read_connections(spark, folder).drop("file").withColumn("snapshot_no", F.col("snapshot_no").cast("bigint"))
 
 
 @query("netstat_parse", with_(SNAPSHOTS) + """SELECT host, snapshot_no,
