@@ -112,7 +112,8 @@ def predict(docs: DataFrame, langs: list[str], filters: np.ndarray, text: str =
 
     ``und`` with score 0 for a null text, one without a letter, or if no language was learned. The score is
     the share of the text's n-grams that the language holds, false positives taken off. Ties go to the
-    language first by code point. Repeated rows are judged alike.
+    language first by code point. Repeated rows are judged alike. An empty table gives no rows; other columns
+    are ignored. A text is judged whole, so one row's ids and slots must fit in a task.
     """
     spark = docs.sparkSession
     wrong = np.array([(filters[i // LANGS] >> np.uint64(i % LANGS) & np.uint64(1)).mean() ** PROBES
@@ -149,6 +150,10 @@ def predict(docs: DataFrame, langs: list[str], filters: np.ndarray, text: str =
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """Learn from the rows that are not held out, then judge every row by its text alone."""
+    """Learn from the rows that are not held out, then judge every row by its text alone.
+
+    An empty table gives no rows, one without a language ``und`` for all. A task counts 2^20 ids (8 MB) for each of
+    up to 16 languages at a time, and languages become literals of the plan: meant for tens of them, not thousands.
+    """
     langs, filters = learn(docs, text, lang, key)
     return predict(docs, langs, filters, text, key)

@@ -1,7 +1,9 @@
 import random
+import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +34,47 @@ def test_language_depends_on_text_alone(spark):
     assert a == b
 
 
+def exact_grams(text):
+    kept = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    kept = re.sub(" +", " ", kept)
+    return [kept[i:i + 3] for i in range(len(kept) - 2)]
+
+
+def test_filter_and_popcounts_against_exact_sets(spark):
+    """Exact sets of trigrams: none is missing from the filter, few are added, scores follow the exact shares."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [r for r in docs.select("doc_id", "text", "lang").collect() if r.text is not None]
+    counts = {}
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            counts.setdefault(r.lang, Counter()).update(exact_grams(r.text))
+    share = {n: {g: c / sum(found.values()) for g, c in found.items()} for n, found in counts.items()}
+    best = {g: max(s.get(g, 0) for s in share.values()) for s in share.values() for g in s}
+    # a little inside the bounds, as ids of 20 bits may add a rare gram to another
+    sure = {n: {g for g, v in s.items() if v >= 1.05 * language.RIVAL * best[g] and v >= 1.05 * language.LEAST
+                and counts[n][g] > 1} for n, s in share.items()}
+    exact = {n: {g for g, v in s.items() if v >= language.RIVAL * best[g] and v >= language.LEAST
+                 and counts[n][g] > 1} for n, s in share.items()}
+    langs, filters = language.learn(docs)
+    assert langs == sorted(exact)
+    grams = sorted(best)
+    ids = np.array([int(language.char_grams(language.code_points(g), 3)[0] >> np.uint64(64 - language.ID_BITS)) for g in grams])
+    first, *more = [filters[0][at] for at in language.slots(ids)]
+    for word in more:
+        first = first & word
+    for i, n in enumerate(langs):
+        holds = {g for g, bits in zip(grams, first) if int(bits) >> i & 1}
+        assert len(sure[n] - holds) <= 0.01 * len(sure[n])  # only where ids of two grams meet
+        assert len(holds - exact[n]) <= 0.03 * len(grams)
+    got = {r.doc_id: r for r in language.predict(docs, langs, filters).collect()}
+    for r in rows:
+        own = exact_grams(r.text)
+        if len(own) >= 200:
+            shares = {n: sum(g in exact[n] for g in own) / len(own) for n in langs}
+            assert abs(got[r.doc_id].score - max(shares.values())) < 0.03
+            assert shares[got[r.doc_id].lang_pred] > max(shares.values()) - 0.03
+
+
 def test_language_of_awkward_rows(spark):
     rows = [(*r, "held") for r in awkward()]
     docs = frame(spark, rows, "doc_id long, text string, lang string, source string, n_chars long, held_out string")

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from flowrisk.llm import quality
 from flowrisk.session import stage
@@ -34,3 +36,21 @@ def test_awkward_rows_pass_through(spark):
             out = apply(spark, table, FOLDER)
             assert out.columns == docs.columns and out.count() <= 2 * table.count()
         assert corpus_pipeline.STAGES[-1][1](spark, table, FOLDER).count() >= table.count()
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    """Extra columns named like the stages' own stay with their rows; a text of 3 MB passes whole."""
+    extra = ["copy", "row", "name", "size", "node", "kept", "shard", "place", "_key", "_id", "bin", "start", "digest"]
+    long = " ".join(f"w{i * 7919 % 400_009}" for i in range(400_000))
+    docs = frame(spark, [*awkward(n=8), (900, long, "aa", "s1", len(long))])
+    docs = docs.select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in extra])
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        out = stage(apply(spark, docs, FOLDER), "test")
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+        for r in out.where("doc_id is not null").collect():
+            assert [r[c] for c in extra] == [f"{c} {r.doc_id}" for c in extra], name
+        if name in ("line dedup", "near duplicates"):
+            assert out.where("doc_id = 900").first().text == long
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs.where("doc_id = 900"), FOLDER).collect()
+    assert sum(r.length for r in packed) == packed[0].doc_tokens
+    assert sorted(r.start for r in packed)[0] == 0 and all(r.offset + r.length <= 2048 for r in packed)
