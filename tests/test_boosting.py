@@ -1,12 +1,13 @@
 """Boosted trees against a plain version that looks at every row for every split."""
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowrisk.operators.boosting import LeafwiseTrees
+from flowrisk.operators.boosting import LeafwiseTrees, LevelTrees
 
 
 def plain_trees(x, y, rounds, rate, leaves, min_leaf):
@@ -94,3 +95,42 @@ def test_edges(spark, data):
     odd = df.limit(1).select("seq", F.lit(None).cast("double").alias("flat"))
     assert flat.score(odd).first().score is None
     assert flat.score(df.withColumnRenamed("label_int", "margin")).count() == 500
+
+
+def jobs(spark, name, call):
+    """The number of Spark jobs of a call."""
+    context = spark.sparkContext
+    context.setJobGroup(name, name)
+    try:
+        call()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    time.sleep(1)  # jobs are told to the tracker in the background
+    return len(context.statusTracker().getJobIdsForGroup(name))
+
+
+def test_a_pass_is_one_job_and_last_children_need_none(spark, data):
+    _, df = data
+    few, more = (jobs(spark, f"stumps {n}", lambda: LeafwiseTrees.fit(df, ["a", "b", "c"], rounds=n, leaves=2)) for n in (5, 15))
+    assert more - few == 10
+    few, more = (jobs(spark, f"levels {n}", lambda: LevelTrees.fit(df, ["a", "b", "c"], rounds=n, depth=2)) for n in (5, 15))
+    assert more - few == 20
+
+
+def test_level_trees_equal_those_of_spark(spark, data):
+    """On features with few values, where both have a bin for each."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    _, df = data
+    df = df.withColumn("c", F.floor(F.col("c") / 20).cast("double")).withColumn("a", F.floor("a"))
+    names = ["a", "b", "c", "flat"]
+    rows = VectorAssembler(inputCols=names, outputCol="features").transform(df)
+    plain = GBTClassifier(labelCol="label_int", maxIter=8, stepSize=0.05, maxDepth=4, minInstancesPerNode=20).fit(rows)
+    wanted = {r[0]: r[1] for r in plain.transform(rows).select("seq", vector_to_array("probability")[1]).collect()}
+    found = {r.seq: r.score for r in LevelTrees.fit(df, names, rounds=8).score(df).collect()}
+    assert max(abs(found[k] - wanted[k]) for k in wanted) < 1e-6
+    one = LevelTrees.fit(df.withColumn("label_int", F.lit(1)), names, rounds=3).score(df)
+    assert one.filter("score <= 0.5").count() == 0
+    with pytest.raises(ValueError):
+        LevelTrees.fit(df.limit(0), names)
