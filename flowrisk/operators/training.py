@@ -12,12 +12,12 @@ from flowrisk.constants import FEATURE_NAMES
 from flowrisk.functions.model import LinearModel
 from flowrisk.functions.normalize import strict_label_int
 from flowrisk.functions.scoring import FEATURE_COLUMNS, model_probability, with_features
-from flowrisk.operators.boosting import LeafwiseTrees
+from flowrisk.operators.boosting import LeafwiseTrees, LevelTrees
 from flowrisk.operators.evaluate import calibrate_raw, confusion, model_ranking
 from flowrisk.operators.feedback import feedback_cap, features_type, id_digest, ledger_duplicates, row_digest
 from flowrisk.operators.iforest import IsolationForest
 from flowrisk.operators.splits import model_split
-from flowrisk.session import shared_dir, stage
+from flowrisk.session import stage
 
 L2 = 0.0005
 MAX_STEPS = 800
@@ -81,14 +81,9 @@ def train_logistic(df: DataFrame, max_iter: int = MAX_STEPS) -> LinearModel:
                        {"algorithm": "logistic_regression_lbfgs", "max_iter": max_iter, **counts})
 
 
-def train_trees(df: DataFrame, seed: int = 42, rounds: int = 100):
+def train_trees(df: DataFrame, rounds: int = 100) -> LevelTrees:
     """Gradient boosted trees grown level by level: up to 16 leaves, learning rate 0.05."""
-    from pyspark.ml.classification import GBTClassifier
-    shared_dir(df.sparkSession)
-    rows = df.count()
-    return GBTClassifier(featuresCol="features", labelCol="label_int", maxIter=rounds,
-                         stepSize=0.05, maxDepth=4, seed=seed, cacheNodeIds=True,
-                         minInstancesPerNode=max(2, min(20, rows // 10))).fit(_vectors(df))
+    return LevelTrees.fit(df, FEATURE_COLUMNS, rounds=rounds, rate=0.05, depth=4)
 
 
 def train_leafwise(df: DataFrame, rounds: int = 100) -> LeafwiseTrees:
@@ -96,11 +91,8 @@ def train_leafwise(df: DataFrame, rounds: int = 100) -> LeafwiseTrees:
     return LeafwiseTrees.fit(df, FEATURE_COLUMNS, rounds=rounds, rate=0.05, leaves=15)
 
 
-def score_trees(model, df: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-    return model.transform(_vectors(df)).withColumn(
-        "score", vector_to_array("probability")[1]).drop(
-        "features", "rawPrediction", "probability", "prediction")
+def score_trees(model: LeafwiseTrees, df: DataFrame) -> DataFrame:
+    return model.score(df)
 
 
 def score_linear(model: LinearModel, df: DataFrame) -> DataFrame:
@@ -118,10 +110,7 @@ def _fitters(train: DataFrame, seed: int, rounds: int, leafwise: bool) -> dict[s
         return model.score
 
     def boosted():
-        if leafwise:
-            return train_leafwise(train, rounds).score
-        model = train_trees(train, seed, rounds)
-        return lambda df: score_trees(model, df)
+        return (train_leafwise if leafwise else train_trees)(train, rounds).score
 
     return {"logistic_regression": logistic, "isolation_forest": isolation,
             "boosted_trees": boosted}
