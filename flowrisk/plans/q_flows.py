@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from flowrisk.functions.scoring import with_scores
@@ -161,6 +163,18 @@ def _little(value, size: int):
     return F.concat(*[F.substring(text, 2 * i + 1, 2) for i in reversed(range(size))])
 
 
+@contextmanager
+def small_splits(spark, size: str = "2m"):
+    """Tasks that read tables take few bytes: a shuffle to many files holds what a task has read."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def capture_files(spark, d, packets_a_file: int = 50_000) -> str:
     """A folder of classic PCAP files, built from the packet view and written to the shared folder.
 
@@ -177,9 +191,10 @@ def capture_files(spark, d, packets_a_file: int = 50_000) -> str:
     lines = packets.select(which.alias("f"), *X.PACKET_ORDER, record.alias("r")).unionByName(
         spark.range(files).select(F.col("id").alias("f"), head.alias("r")), allowMissingColumns=True)  # nulls come first
     path = shared_path(spark, "captures")
-    (lines.repartition(files, "f").sortWithinPartitions("f", *X.PACKET_ORDER)
-     .select("f", F.unhex(F.expr("left(r, length(r) - 2)")).cast("string").alias("value"))
-     .write.partitionBy("f").option("lineSep", "\0").text(path))
+    with small_splits(spark):  # and one file a task: by a hash of their numbers several would meet in one
+        (lines.repartitionById(files, F.col("f").cast("int")).sortWithinPartitions("f", *X.PACKET_ORDER)
+         .select("f", F.unhex(F.expr("left(r, length(r) - 2)")).cast("string").alias("value"))
+         .write.partitionBy("f").option("lineSep", "\0").text(path))
     return path
 
 

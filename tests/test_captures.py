@@ -1,3 +1,4 @@
+import os
 import random
 import struct
 
@@ -213,3 +214,21 @@ def test_a_store_that_python_cannot_open(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sources, "_can_open", lambda path: False)
     (tmp_path / "x.cap").write_bytes(pcap([eth4(tcp())] * 50))
     assert read_captures(spark, str(tmp_path / "x.cap"), None, 100).count() == 50
+
+
+def test_capture_files_hold_little_at_a_time(spark, tmp_path, monkeypatch):
+    """A file a task, tables read in small splits, and the session's setting as before."""
+    from flowrisk.plans import fixtures, q_flows
+    (spark.range(4000).selectExpr("timestamp'2024-01-01' + make_interval(0,0,0,0,0,0,id) as l_shipdate", "id as l_orderkey",
+                                  "cast(id % 7 as int) as l_linenumber", "id as l_partkey", "id as l_suppkey",
+                                  "cast(id % 50 as double) as l_quantity", "'A' as l_returnflag", "'F' as l_linestatus")
+     .write.parquet(str(tmp_path / "lineitem.parquet")))
+    name, seen = "spark.sql.files.maxPartitionBytes", []
+    usual = spark.conf.get(name)
+    monkeypatch.setattr(q_flows, "small_splits", lambda s, call=q_flows.small_splits: seen.append(1) or call(s))
+    path = q_flows.capture_files(spark, str(tmp_path), packets_a_file=100)
+    folders = [f for f in os.listdir(path) if f.startswith("f=")]
+    assert len(folders) == 40 and all(len([x for x in os.listdir(f"{path}/{f}") if x.startswith("part-")]) == 1 for f in folders)
+    tasks = {x.split("-")[1] for f in folders for x in os.listdir(f"{path}/{f}") if x.startswith("part-")}
+    assert len(tasks) == 40 and seen and spark.conf.get(name) == usual
+    assert read_captures(spark, path).count() == fixtures.packets(spark, str(tmp_path)).count()
