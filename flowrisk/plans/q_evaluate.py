@@ -290,7 +290,7 @@ def retrain_feedback(spark, d):
     """Train on the flows and approved feedback, then evaluate on the flows."""
     from flowrisk.plans.q_feedback import approved_ledger
     base = stage(X.context_flows(spark, d), "flows")
-    model = T.retrain_with_feedback(base, approved_ledger(spark, d))
+    model = T.retrain_with_feedback(base, approved_ledger(spark, d, base))
     return _confusion_at(T.score_linear(model, T.labelled_features(base)), 0.5).withColumns({
         "approved_feedback_rows": F.lit(model.metadata["approved_feedback_rows"]),
         "feedback_fraction": F.lit(model.metadata["feedback_fraction"])})

@@ -33,8 +33,9 @@ def ledger(rows):
         F.col("feature_snapshot").alias("features"))
 
 
-def approved_ledger(spark, d):
-    return ledger(alerts(spark, d))
+def approved_ledger(spark, d, flows):
+    """The ledger of flows with context; alerts that it does not hold are not made."""
+    return ledger(alerts(spark, d, "seq", "alert_id", "feature_snapshot", flows=flows.filter("seq % 14 = 0")))
 
 
 _PENDING = "pending AS (SELECT * FROM alerts WHERE seq % 7 = 0)"

@@ -24,16 +24,16 @@ def scored(spark, d) -> DataFrame:
     return S.with_scores(X.context_flows(spark, d))
 
 
-def found(spark, d) -> DataFrame:
-    """Detections of all flows with ``seq`` and ``ts_us``."""
-    flows = X.context_flows(spark, d).withColumn("timestamp", us_text("ts_us"))
+def found(spark, d, flows: DataFrame | None = None) -> DataFrame:
+    """Detections of all flows with ``seq`` and ``ts_us``; ``flows`` are those with context, if they are known."""
+    flows = (X.context_flows(spark, d) if flows is None else flows).withColumn("timestamp", us_text("ts_us"))
     return S.detections(flows, keep=["seq", "ts_us", "src_port"])
 
 
-def alerts(spark, d, *columns: str) -> DataFrame:
+def alerts(spark, d, *columns: str, flows: DataFrame | None = None) -> DataFrame:
     """The alert table with ids, or the named columns of it: written once, as the jobs that follow use it more
     than once. What is not named is not computed."""
-    rows = found(spark, d).filter("is_alert").withColumn("alert_id", B.alert_id())
+    rows = found(spark, d, flows).filter("is_alert").withColumn("alert_id", B.alert_id())
     return stage(rows.select(*columns) if columns else rows, "alerts")
 
 

@@ -104,3 +104,11 @@ def test_row_digest_tells_every_change(spark):
               [*data[:3], ("z", 2, (None, None))], [*data[:3], ("z", 2, None)], []]
     found = [digest(o)[1] for o in [data, *others]]
     assert len(set(found)) == len(found)
+
+
+def test_retraining_makes_the_context_once(spark, monkeypatch):
+    from flowrisk.plans import fixtures, q_evaluate
+    made = []
+    monkeypatch.setattr(fixtures, "context_flows", lambda *a, call=fixtures.context_flows: made.append(1) or call(*a))
+    row = q_evaluate.retrain_feedback(spark, "/root/testdata/sf0.001").first()
+    assert len(made) == 1 and row["approved_feedback_rows"] > 0
